@@ -136,7 +136,7 @@ def prioritise(rollup: DataFrame) -> DataFrame:
     if "verified" in rollup.columns:
         dead = dead | (F.col("verified") == "invalid")
     score = F.when(active, -2).when(paired, -1).when(dead, 1).otherwise(0)
-    return rollup.withColumn("priority", score).orderBy(status, score, "rule_id", "fingerprint")
+    return rollup.withColumn("priority", score).orderBy(status, "priority", "rule_id", "fingerprint")
 
 
 def top_entries(ordered: DataFrame, n: int = 25) -> DataFrame:
@@ -148,17 +148,19 @@ def top_entries(ordered: DataFrame, n: int = 25) -> DataFrame:
             .withColumn("truncated_count", F.greatest(F.col("total") - n, F.lit(0))).drop("total"))
 
 
-def rule_group_order(rollup: DataFrame, shown: int = 12) -> DataFrame:
-    """Display order of rule groups: those with pending entries first, then by label.
+def display_entries(rollup: DataFrame, shown: int = 12) -> DataFrame:
+    """The entries a short report shows, grouped by rule.
 
-    Groups are few (one per rule), so ranking them in one window is bounded by the
-    catalogue.
+    Rules with a pending entry come first, then rules by label; inside a rule the
+    entries keep their priority.  The limit counts entries, not rules.
     """
     groups = rollup.groupBy("rule_id").agg(
-        F.min("label").alias("label"), F.count("*").alias("entries"),
-        F.count_if(F.col("status") == "pending").alias("pending"))
-    rank = F.row_number().over(W.orderBy(F.when(F.col("pending") > 0, 0).otherwise(1), "label", "rule_id"))
-    return groups.withColumn("position", rank).where(F.col("position") <= shown)
+        F.min("label").alias("group_label"), F.max(F.when(F.col("status") == "pending", 1).otherwise(0)).alias("open"))
+    # One row per rule of the catalogue, so this side is small by construction.
+    entries = prioritise(rollup).join(F.broadcast(groups), "rule_id")
+    status = F.when(F.col("status") == "pending", 0).when(F.col("status") == "acked", 1).otherwise(2)
+    return (entries.orderBy(F.desc("open"), "group_label", "rule_id", status, "priority", "fingerprint")
+            .limit(shown).drop("group_label", "open"))
 
 
 def pending_summary(rollup: DataFrame) -> DataFrame:
