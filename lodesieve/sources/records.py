@@ -39,6 +39,17 @@ def as_files(df: DataFrame, file: str, text: str, source: str | Column, mtime_ms
         F.octet_length(text).cast("bigint").alias("size_bytes"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small table enough partitions for every core; leave a large one alone.
+
+    A text scan is bound by the processor, and a table of a few files or row groups
+    would keep most cores idle.  Only tables with fewer partitions than two per
+    core are moved, so the shuffle is small by construction.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def document_records(documents: DataFrame) -> DataFrame:
     """Records of a ``documents`` table: one file per document."""
     return explode_lines(as_files(documents, "doc_id", "text", F.col("source")))
