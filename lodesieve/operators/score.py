@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lodesieve.functions.text import basename
 from lodesieve.operators.plant import HARD_CLASSES
 from lodesieve.operators.rollup import chunked_row_number
+from lodesieve.session import checkpointed
 
 LINES_PER_CHUNK = 4096
 _KIND_RANK = {"secret": 0, "suppress": 1, "chaff": 2}
@@ -35,49 +36,62 @@ def file_matches(finding_file: Column, truth_file: Column) -> Column:
         (truth_file == finding_file) | truth_file.endswith(F.concat(F.lit("/"), finding_file)))
 
 
-def _numbered(df: DataFrame, keys: list[str], name: str, first: list[Column] | None = None) -> DataFrame:
-    # (file, line) order; the chunk follows it, so it may split a hot key.
-    order = (first or []) + ["file", "line", "id"]
+def _rank(df: DataFrame, first: list[Column] | None = None) -> DataFrame:
+    """``k``, the position inside ``group`` along (file, line, id)."""
     lead = F.struct(*(first or []), F.col("file"), F.floor(F.col("line") / LINES_PER_CHUNK))
-    return chunked_row_number(df, keys, lead, order, name)
+    return chunked_row_number(df, ["group"], lead, (first or []) + ["file", "line", "id"], "k")
 
 
-def _assign(findings: DataFrame, truth: DataFrame, keys: list[str], tier: int, first: list[Column] | None = None) -> DataFrame:
-    ranked_truth = _numbered(truth, keys, "k", first).select(*keys, "k", F.col("id").alias("truth_id"))
-    sizes = truth.groupBy(*keys).agg(F.count("*").alias("n"))
-    ranked = _numbered(findings, keys, "k").join(sizes, keys)
-    target = F.when(F.col("k") <= F.col("n"), F.col("k")).otherwise(F.lit(1).cast("bigint"))
-    return (ranked.select(*keys, target.alias("k"), F.col("id").alias("finding_id"))
-            .join(ranked_truth, keys + ["k"])
-            .select("finding_id", "truth_id", F.lit(tier).alias("tier")))
+def _by_value_in_file() -> Column:
+    return F.concat_ws("\n", F.lit("1a"), "value", "file")
+
+
+def _by_value() -> Column:
+    return F.concat_ws("\n", F.lit("1b"), "value")
+
+
+def _by_family() -> Column:
+    return F.concat_ws("\n", F.lit("3"), "file", "rule_family")
 
 
 def attribute_findings(found: DataFrame, truth: DataFrame) -> DataFrame:
     """``(finding_id, truth_id, tier)`` for every finding that could be attributed.
 
-    Files are compared by base name and value or line, so every join is an
-    equi-join on a selective key.
+    Files are compared by base name.  The tier of a finding follows from which of
+    its keys occur in the truth, so all tiers are ranked and joined together.
+    Both inputs are read several times and are therefore checkpointed first, with
+    hashes in place of raw values.
     """
-    f = found.select(F.col("finding_id").alias("id"), basename(F.col("file")).alias("file"), "line", "value", "rule_family")
-    t = truth.select(F.col("truth_id").alias("id"), basename(F.col("file")).alias("file"), "line", "value", "rule_family", "kind")
-
-    def without(df: DataFrame, done: DataFrame) -> DataFrame:
-        return df.join(done.select(F.col("finding_id").alias("id")), "id", "left_anti")
-
-    in_file = _assign(f.where(F.col("value").isNotNull()), t, ["value", "file"], 1)
-    rest = without(f, in_file)
-    anywhere = _assign(rest.where(F.col("value").isNotNull()), t, ["value"], 1)
-    by_value = in_file.unionByName(anywhere)
-
-    rest = without(f, by_value)
-    first_on_line = t.groupBy("file", "line").agg(F.min("id").alias("truth_id"))
-    by_line = (rest.join(first_on_line, ["file", "line"])
-               .select(F.col("id").alias("finding_id"), "truth_id", F.lit(2).alias("tier")))
-    done = by_value.unionByName(by_line)
-
-    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _KIND_RANK.items()], F.lit(3))
-    by_family = _assign(without(f, done), t, ["file", "rule_family"], 3, [rank])
-    return done.unionByName(by_family)
+    hashed = F.sha2(F.col("value"), 256).alias("value")
+    f = checkpointed(found.select(F.col("finding_id").alias("id"), basename(F.col("file")).alias("file"), "line", hashed, "rule_family"))
+    t = checkpointed(truth.select(F.col("truth_id").alias("id"), basename(F.col("file")).alias("file"), "line", hashed, "rule_family", "kind"))
+
+    # Which keys occur, and how often; aggregates of the truth, combined map-side.
+    groups = [(_by_value_in_file(), "1a", None), (_by_value(), "1b", None), (_by_family(), "3", "kind")]
+    keyed = t.select("*", F.explode(F.array(*[F.struct(key.alias("group"), F.lit(tier).alias("tier")) for key, tier, _ in groups])).alias("g"))
+    keyed = keyed.select("id", "file", "line", "kind", "g.group", "g.tier")
+    sizes = keyed.groupBy("group").agg(F.count("*").alias("n"))
+    first_on_line = t.groupBy("file", "line").agg(F.min("id").alias("line_truth"))
+
+    has_value = F.col("value").isNotNull()
+    g = f.select("*", F.when(has_value, _by_value_in_file()).alias("ka"), F.when(has_value, _by_value()).alias("kb"), _by_family().alias("kc"))
+    for key, n in (("ka", "na"), ("kb", "nb"), ("kc", "nc")):
+        g = g.join(sizes.select(F.col("group").alias(key), F.col("n").alias(n)), key, "left")
+    g = g.join(first_on_line, ["file", "line"], "left")
+    tier = F.when(F.col("na").isNotNull() | F.col("nb").isNotNull(), 1).when(F.col("line_truth").isNotNull(), 2).when(F.col("nc").isNotNull(), 3)
+    group = (F.when(F.col("na").isNotNull(), F.col("ka")).when(F.col("nb").isNotNull(), F.col("kb"))
+             .when(F.col("line_truth").isNull() & F.col("nc").isNotNull(), F.col("kc")))
+    n = F.when(F.col("na").isNotNull(), F.col("na")).when(F.col("nb").isNotNull(), F.col("nb")).otherwise(F.col("nc"))
+    placed = checkpointed(g.select("id", "file", "line", "line_truth", tier.alias("tier"), group.alias("group"), n.alias("n")).where(F.col("tier").isNotNull()))
+
+    kind_rank = F.when(F.col("tier") == "3", F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _KIND_RANK.items()], F.lit(3))).otherwise(0)
+    instances = _rank(keyed, [kind_rank]).select("group", "k", F.col("id").alias("truth_id"))
+    ranked = _rank(placed.where(F.col("group").isNotNull()))
+    target = F.when(F.col("k") <= F.col("n"), F.col("k")).otherwise(F.lit(1).cast("bigint"))
+    by_rank = (ranked.select(F.col("id").alias("finding_id"), "tier", "group", target.alias("k"))
+               .join(instances, ["group", "k"]).select("finding_id", "truth_id", "tier"))
+    by_line = placed.where(F.col("group").isNull()).select(F.col("id").alias("finding_id"), F.col("line_truth").alias("truth_id"), "tier")
+    return by_rank.unionByName(by_line)
 
 
 def with_matches(truth: DataFrame, attributed: DataFrame) -> DataFrame:
