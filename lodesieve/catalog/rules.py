@@ -7,7 +7,8 @@ union of all anchors once per record and only looks closer at records that pass.
 the match begins at an ASCII word boundary, which makes the union much cheaper.
 ``token`` adds that the match starts with 1-10 letters or digits and one of
 ``_ . : / + -``, or with 13 characters of ``[A-Za-z0-9_-]``; ordinary words do
-neither, so one look-ahead rejects them for all such rules together.
+neither, so one look-ahead rejects them for all such rules together.  A token also
+holds no blank.
 
 ``needles`` are substrings of which every match contains at least one (lower case
 when the rule ignores case).  They decide which rules a record that passed is

@@ -62,6 +62,23 @@ def seam_array(lines: Column) -> Column:
     return bind(F.transform(lines, lambda t: F.when(F.length(t) > 0, content_of(t))), pairs)
 
 
+def seam_gate(tail: Column, head: Column, rules: tuple[Rule, ...]) -> Column:
+    """May any rule match over the seam?
+
+    Matches of token rules hold no blank, so only the word that crosses the seam
+    matters to them; the few other rules look at both windows.
+    """
+    tokens = tuple(r for r in rules if r.token)
+    others = tuple(r for r in rules if not r.token)
+    word = F.concat(F.substring_index(tail, " ", -1), F.substring_index(head, " ", 1))
+    gate = F.lit(False)
+    if tokens:
+        gate = gate | ((F.length(word) >= 2 * MIN_SHARE) & passes_gate(word, tokens))
+    if others:
+        gate = gate | passes_gate(F.concat(tail, head), others)
+    return gate
+
+
 def seam_hits(tail: Column, head: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """Array of hits over the seam, at most one per rule.
 
@@ -74,31 +91,31 @@ def seam_hits(tail: Column, head: Column, rules: tuple[Rule, ...] = DEFAULT_RULE
     table = rule_table(rules, width=2 * SEAM_WINDOW)
 
     def flush(m: Column) -> Column:
-        in_tail = F.arrays_zip(F.regexp_extract_all(tail, m["regex"], F.lit(0)).alias("v"),
-                               F.regexp_extract_all(tail, m["before_regex"], F.lit(1)).alias("b"))
-        ends_at_seam = F.exists(in_tail, lambda z: (F.length(z["b"]) == m["start"])
-                                & (F.length(z["b"]) + F.length(z["v"]) == seam))
+        values, gaps = (F.regexp_extract_all(tail, m[r], F.lit(g)) for r, g in (("regex", 0), ("gap_regex", 1)))
+        # Only the last match can end at the seam; what is in front of it starts it.
+        covered = F.aggregate(F.concat(values, gaps), F.lit(0), lambda acc, p: acc + F.length(p))
+        last = F.length(F.get(values, F.size(values) - 1))
+        ends_at_seam = (covered == seam) & (covered - last == m["start"])
         first_in_head = F.get(F.regexp_extract_all(head, m["regex"], F.lit(0)), 0)
-        at_front = F.get(F.regexp_extract_all(head, m["before_regex"], F.lit(1)), 0) == ""
+        at_front = F.get(F.regexp_extract_all(head, m["gap_regex"], F.lit(1)), 0) == ""
         starts_at_seam = at_front & (seam + F.length(first_in_head) == m["start"] + F.length(m["value"]))
-        return ends_at_seam | F.coalesce(starts_at_seam, F.lit(False))
+        return F.coalesce(ends_at_seam, F.lit(False)) | F.coalesce(starts_at_seam, F.lit(False))
 
     def crossing(joined: Column) -> Column:
         located = located_matches(joined, table, lambda r, v, b: F.struct(
             r["rule_id"].alias("rule_id"), r["label"].alias("label"), r["confidence"].alias("confidence"),
-            v.alias("value"), F.length(b).alias("start"), r["regex"].alias("regex"), r["before_regex"].alias("before_regex")))
+            v.alias("value"), F.length(b).alias("start"), r["regex"].alias("regex"), r["gap_regex"].alias("gap_regex")))
         over = F.filter(located, lambda m: (seam - m["start"] >= MIN_SHARE)
                         & (m["start"] + F.length(m["value"]) - seam >= MIN_SHARE))
         kept = F.filter(over, lambda m: ~flush(m))
         return F.transform(kept, lambda m: hit(m["rule_id"], m["label"], m["confidence"], m["value"], "boundary"))
 
-    joined = F.concat(tail, head)
-    return F.when(passes_gate(joined, rules), bind(joined, crossing))
+    return F.when(seam_gate(tail, head, rules), bind(F.concat(tail, head), crossing))
 
 
 def straddling(seams: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Matches over a seam, one row per seam and rule."""
-    gated = seams.where(passes_gate(F.concat("tail", "head"), rules))
+    gated = seams.where(seam_gate(F.col("tail"), F.col("head"), rules))
     return explode_hits(gated, seam_hits(F.col("tail"), F.col("head"), rules))
 
 

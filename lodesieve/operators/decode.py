@@ -29,8 +29,9 @@ CANDIDATE = (
     rf"(?:(?<!{_B_OR_PAD})(?={_B_OR_PAD}{{4}})|(?<==)){_B}++"
     rf"(?:=++|(?:{_NEXT_RUN}{_B}++(?!=))*+(?:{_NEXT_RUN}{_B}*+=++)?+)"
 )
-# No candidate without 24 characters in a row, or a wrapped run.
-DECODE_GATE = rf"{_B}{{{MIN_CHARS}}}|{_B}{{4}}(?:\\[nr]|[\r\n])"
+# No candidate without 24 characters in a row, or a wrapped run.  Only starts of
+# runs are tried, so ordinary words are walked once.
+DECODE_GATE = rf"(?<!{_B}){_B}{{4}}(?:{_B}{{{MIN_CHARS - 4}}}|{_B}*+(?:\\[nr]|[\r\n]))"
 
 
 def normalize_escapes(text: Column) -> Column:

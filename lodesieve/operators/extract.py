@@ -27,7 +27,7 @@ from lodesieve.functions.text import bind
 RECORD_KEYS = ("source", "file", "line", "mtime_ms")
 
 _TABLE_TYPE = ("array<struct<rule_id:string,label:string,confidence:string,ignore_case:boolean,needles:array<string>,"
-               "regex:string,before_regex:string,after_regex:string>>")
+               "regex:string,gap_regex:string,after_regex:string,width:int>>")
 
 
 def passes_gate(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -35,14 +35,13 @@ def passes_gate(text: Column, rules: tuple[Rule, ...]) -> Column:
     return text.rlike(anchor_union(rules))
 
 
-def prefix_regex(rule: Rule, width: int) -> str:
-    """Expression whose group 1 is the text in front of each match of a rule.
+def gap_regex(rule: Rule) -> str:
+    """Expression whose group 1 is the text between the match before and each match.
 
-    That is ``width`` characters, or all of them when the match starts earlier.
-    The look-ahead comes first, so the look-behind only runs where the rule matches.
+    ``\\G`` pins every attempt to the end of the match before, so the gaps line up
+    with the matches and a text is walked once.
     """
-    body = f"(?:{rule_regex(rule)})"
-    return rf"(?={body})(?<=(\A[\s\S]{{0,{width - 1}}}|[\s\S]{{{width}}})){body}"
+    return rf"\G([\s\S]*?)(?:{rule_regex(rule)})"
 
 
 def suffix_regex(rule: Rule, width: int) -> str:
@@ -62,8 +61,8 @@ def rule_table(rules: tuple[Rule, ...], width: int = CONTEXT_CHARS, windows: dic
         needles = rule.needles if rule.needles is not None else ((rule.anchor,) if is_literal(rule.anchor) else ())
         rows.append({
             "rule_id": rule.id, "label": rule.label, "confidence": rule.confidence, "ignore_case": rule.ignore_case,
-            "needles": needles, "regex": rule_regex(rule), "before_regex": prefix_regex(rule, max(window, width)),
-            "after_regex": suffix_regex(rule, window) if window else None})
+            "needles": needles, "regex": rule_regex(rule), "gap_regex": gap_regex(rule),
+            "after_regex": suffix_regex(rule, window) if window else None, "width": max(window, width)})
     return F.from_json(F.lit(json.dumps(rows)), _TABLE_TYPE)
 
 
@@ -80,11 +79,24 @@ def matched_rules(text: Column, table: Column) -> Column:
     return F.filter(tried, lambda m: F.size(m["values"]) > 0)
 
 
+def text_before(values: Column, gaps: Column, i: Column, width: Column) -> Column:
+    """The ``width`` characters in front of match ``i``, put together from gaps and earlier matches.
+
+    A match has at least one character, so ``width`` pieces are always enough and
+    the work per match is bounded however many matches a text has.
+    """
+    n = F.least(i, width)
+    earlier = F.zip_with(F.slice(gaps, i - n + 1, n), F.slice(values, i - n + 1, n), lambda g, v: F.concat(g, v))
+    return F.right(F.concat(F.array_join(earlier, ""), F.get(gaps, i)), width)
+
+
 def located_matches(text: Column, table: Column, build: Callable[[Column, Column, Column], Column]) -> Column:
     """Array of ``build(rule, value, before)`` over all matches."""
-    return F.flatten(F.transform(matched_rules(text, table), lambda m: F.zip_with(
-        m["values"], F.regexp_extract_all(text, m["rule"]["before_regex"], F.lit(1)),
-        lambda v, b: build(m["rule"], v, b))))
+    def per_rule(m: Column) -> Column:
+        return bind(F.regexp_extract_all(text, m["rule"]["gap_regex"], F.lit(1)), lambda gaps: F.transform(
+            m["values"], lambda v, i: build(m["rule"], v, text_before(m["values"], gaps, i, m["rule"]["width"]))))
+
+    return F.flatten(F.transform(matched_rules(text, table), per_rule))
 
 
 def hit(rule_id: Column, label: Column, confidence: Column, value: Column, pass_name: str, before: Column | None = None,
@@ -107,13 +119,15 @@ def rule_hits(text: Column, rules: tuple[Rule, ...], windows: dict[str, int] | N
 
     def details(m: Column) -> Column:
         rule = m["rule"]
-        before = F.regexp_extract_all(text, rule["before_regex"], F.lit(1))
         after = F.when(rule["after_regex"].isNotNull(), F.regexp_extract_all(text, rule["after_regex"], F.lit(1)))
-        parts = F.arrays_zip(m["values"].alias("v"), before.alias("b"),
-                             F.coalesce(after, F.array().cast("array<string>")).alias("a"))
-        return F.transform(parts, lambda z: hit(
-            rule["rule_id"], rule["label"], rule["confidence"], z["v"], pass_name,
-            before=F.right(z["b"], F.lit(CONTEXT_CHARS)), around=F.concat(z["b"], z["v"], z["a"])))
+        context = F.struct(F.regexp_extract_all(text, rule["gap_regex"], F.lit(1)).alias("gaps"), after.alias("after"))
+
+        def one(c: Column, v: Column, i: Column) -> Column:
+            return bind(text_before(m["values"], c["gaps"], i, rule["width"]), lambda b: hit(
+                rule["rule_id"], rule["label"], rule["confidence"], v, pass_name,
+                before=F.right(b, F.lit(CONTEXT_CHARS)), around=F.concat(b, v, F.get(c["after"], i))))
+
+        return bind(context, lambda c: F.transform(m["values"], lambda v, i: one(c, v, i)))
 
     return F.flatten(F.transform(matched_rules(text, table), details))
 

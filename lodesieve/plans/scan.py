@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodesieve.catalog.rules import (CHATML_RULE, DEFAULT_RULES, NOISY_RULES, OVERRIDE_PHRASE_RULE, PII_RULES,
                                      SEED_PHRASE_RULE, ZERO_WIDTH_RULE, Rule)
 from lodesieve.functions.text import basename, fingerprint, jwt_expires_at_ms, redact
-from lodesieve.operators.boundary import both_lines, record_seams, seam_array, seam_hits, straddling
+from lodesieve.operators.boundary import both_lines, record_seams, seam_array, seam_gate, seam_hits, straddling
 from lodesieve.operators.decode import DECODE_GATE, decoded_hits
 from lodesieve.operators.extract import explode_hits, passes_gate, rule_hits
 from lodesieve.operators.injection import injection_hits
@@ -99,14 +99,15 @@ def all_matches(records: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
 
 def all_matches_of_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """The same for rows that each hold a whole file: one read and no shuffle."""
-    text, seam = F.col("text"), F.concat("seam.tail", "seam.head")
+    text = F.col("text")
     lines = (files.select("source", "file", "mtime_ms", lines_of(text).alias("lines"))
              .select("source", "file", "mtime_ms", F.posexplode(
                  F.arrays_zip("lines", seam_array(F.col("lines")).alias("seams"))).alias("i", "z"))
              .select("source", "file", (F.col("i") + 1).alias("line"), "mtime_ms",
                      F.col("z.lines").alias("text"), F.col("z.seams").alias("seam")))
     over = seam_hits(F.col("seam.tail"), F.col("seam.head"), options.secret_rules)
-    gate = record_gate(text, options) | F.coalesce(passes_gate(seam, options.secret_rules), F.lit(False))
+    gate = record_gate(text, options) | F.coalesce(
+        seam_gate(F.col("seam.tail"), F.col("seam.head"), options.secret_rules), F.lit(False))
     return classify(explode_hits(lines.where(gate), F.concat(record_hits(text, options), _or_none(over))), options)
 
 

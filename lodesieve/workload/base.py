@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodesieve.operators.extract import explode_hits, passes_gate, rule_hits
 from lodesieve.operators.pairing import PAIR_WINDOWS
-from lodesieve.operators.plant import plant_corpus
+from lodesieve.operators.plant import planted_text, with_plants
 from lodesieve.operators.suppress import mark_suppressed
 from lodesieve.catalog.rules import DEFAULT_RULES, NOISY_RULES
 from lodesieve.plans.scan import expanded_matches, findings_of
@@ -27,7 +27,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plant_corpus(documents(spark, sf_dir))[0]
+    df = with_plants(documents(spark, sf_dir))
+    return df.select("doc_id", "source", planted_text(df).alias("text"))
 
 
 def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
