@@ -244,8 +244,8 @@ def with_version(packages: DataFrame) -> DataFrame:
 
 
 def advisory_table(spark: SparkSession) -> DataFrame:
-    """The known-vulnerable versions."""
-    return spark.createDataFrame(ADVISORIES, ADVISORY_SCHEMA)
+    """The known-vulnerable versions of this package, a fixed number of rows and safe to broadcast."""
+    return F.broadcast(spark.createDataFrame(ADVISORIES, ADVISORY_SCHEMA))
 
 
 def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
         low, high, below = version_triple(r["lowest"]), version_triple(r["highest"]), version_triple(r["below"])
         return (F.coalesce(v >= low, F.lit(True)) & F.coalesce(v <= high, F.lit(True)) & F.coalesce(v < below, F.lit(True)))
 
-    joined = with_version(packages).where(v.isNotNull()).join(F.broadcast(advisories), ["ecosystem", "package"])
+    joined = with_version(packages).where(v.isNotNull()).join(advisories, ["ecosystem", "package"])
     return joined.where(F.exists("ranges", inside)).drop("ranges", "version_triple")
 
 

@@ -20,6 +20,12 @@ GUIDANCE_SCHEMA = ("rule_id string, guidance_label string, rotate_url string, co
                    "revoke_note string, generic boolean")
 
 
+def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate next to every row of a small result."""
+    keyed = one_row.withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(keyed, "_one").drop("_one")
+
+
 def with_fingerprint(findings: DataFrame) -> DataFrame:
     """Add ``fingerprint`` from rule, preview and base name."""
     return findings.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("preview"), basename(F.col("file"))))
@@ -51,7 +57,7 @@ def file_summary(findings: DataFrame, top: int = 15) -> DataFrame:
     """The files with most findings; ``files_total`` tells how many there are in all."""
     per_file = findings.groupBy("source", "file").agg(F.count("*").alias("n"), F.max("mtime_ms").alias("newest_mtime_ms"))
     total = per_file.agg(F.count("*").alias("files_total"))
-    return per_file.orderBy(F.desc("n"), "source", "file").limit(top).crossJoin(F.broadcast(total))
+    return beside(per_file.orderBy(F.desc("n"), "source", "file").limit(top), total)
 
 
 def with_ledger(findings: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -75,16 +81,17 @@ def with_ledger(findings: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def guidance_table(spark: SparkSession) -> DataFrame:
-    """What to do about each rule; one row per catalogue rule."""
-    return spark.createDataFrame(GUIDANCE, GUIDANCE_SCHEMA)
+    """What to do about each rule; one row per catalogue rule, hence safe to broadcast."""
+    return F.broadcast(spark.createDataFrame(GUIDANCE, GUIDANCE_SCHEMA))
 
 
 def with_guidance(findings: DataFrame, guidance: DataFrame) -> DataFrame:
     """Add guidance; an unknown rule gets a generic entry that says so.
 
-    Guidance has one row per catalogue rule, a fixed number, so it is broadcast.
+    The table of this package is marked for broadcast, as its size is fixed; another
+    one is joined as the optimizer sees fit.
     """
-    joined = findings.join(F.broadcast(guidance), "rule_id", "left")
+    joined = findings.join(guidance, "rule_id", "left")
     missing = F.col("guidance_label").isNull()
     return (joined
             .withColumn("generic", F.coalesce("generic", F.lit(True)))
@@ -143,7 +150,7 @@ def top_entries(ordered: DataFrame, n: int = 25) -> DataFrame:
     """The first ``n`` (1 to 200) entries and how many were left out."""
     n = max(1, min(200, n))
     total = ordered.agg(F.count("*").alias("total"))
-    return (ordered.limit(n).crossJoin(F.broadcast(total))
+    return (beside(ordered.limit(n), total)
             .withColumn("truncated", F.col("total") > n)
             .withColumn("truncated_count", F.greatest(F.col("total") - n, F.lit(0))).drop("total"))
 
@@ -192,7 +199,7 @@ def gate(findings: DataFrame, integrity: DataFrame | None = None, ledger: DataFr
     if integrity is None:
         return found.withColumn("warnings", F.lit(0).cast("bigint")).withColumn("fails", F.col("open_findings") > 0)
     warned = integrity.agg(F.count_if(F.col("severity") == "warn").alias("warnings"))
-    return found.crossJoin(F.broadcast(warned)).withColumn("fails", (F.col("open_findings") > 0) | (F.col("warnings") > 0))
+    return beside(found, warned).withColumn("fails", (F.col("open_findings") > 0) | (F.col("warnings") > 0))
 
 
 def integrity_summary(integrity: DataFrame, checked: DataFrame) -> DataFrame:
@@ -201,7 +208,7 @@ def integrity_summary(integrity: DataFrame, checked: DataFrame) -> DataFrame:
                            F.count_if(F.col("severity") == "info").alias("infos"))
     files = checked.agg(F.count_if(F.col("status") == "checked").alias("checked"),
                         F.count_if(F.col("status") == "absent").alias("absent"))
-    return counts.crossJoin(F.broadcast(files))
+    return beside(counts, files)
 
 
 def scan_summary(findings: DataFrame, coverage: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
@@ -213,8 +220,8 @@ def scan_summary(findings: DataFrame, coverage: DataFrame, suppressed: DataFrame
         F.coalesce(F.sum(F.when(readable, F.col("bytes"))), F.lit(0)).cast("bigint").alias("bytes_scanned"),
         F.count_if(F.col("reason").isNotNull()).alias("unreadable_files"),
         F.countDistinct(F.when(readable, F.col("source"))).alias("sources_scanned"))
-    out = found.crossJoin(F.broadcast(read))
-    return out if suppressed is None else out.crossJoin(F.broadcast(suppressed))
+    out = beside(found, read)
+    return out if suppressed is None else beside(out, suppressed)
 
 
 def chunked_row_number(df: DataFrame, keys: list[str], chunk: Column, order: list[Column | str], name: str) -> DataFrame:

@@ -3,16 +3,17 @@
 ``truth``: truth_id, class, kind, rule_family, file, line, value, distinct_group, exposure.
 ``found``: finding_id, file, line, value, rule_family.
 
-Attribution has three tiers; a finding belongs to at most one instance:
+Attribution has these tiers; a finding belongs to at most one instance:
 
-1. same value, in the same file if it was planted there, else anywhere;
-2. same file and line, the first instance in truth order;
-3. same file and family, real secrets before suppressed ones before chaff.
+1. same value: in the same file if it was planted there, otherwise anywhere;
+2. same file and line: the first instance in truth order;
+3. same file and family: only the most serious kind there (secrets before
+   suppressed examples before chaff).
 
-In tiers 1 and 3 the k-th finding of a group takes the k-th instance, and
-findings beyond the last instance go to the first.  Ranks come from
-``chunked_row_number``: a value that is repeated everywhere does not end up in one
-task.
+In tiers 1 and 3 the k-th finding of a group takes the k-th instance that is still
+free, and findings beyond the last free one go to the first instance.  Ranks come
+from ``chunked_row_number``: a value that is repeated everywhere does not end up
+in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodesieve.functions.text import basename
 from lodesieve.operators.plant import HARD_CLASSES
-from lodesieve.operators.rollup import chunked_row_number
+from lodesieve.operators.rollup import beside, chunked_row_number
 from lodesieve.session import checkpointed
 
 LINES_PER_CHUNK = 4096
@@ -36,10 +37,10 @@ def file_matches(finding_file: Column, truth_file: Column) -> Column:
         (truth_file == finding_file) | truth_file.endswith(F.concat(F.lit("/"), finding_file)))
 
 
-def _rank(df: DataFrame, first: list[Column] | None = None) -> DataFrame:
+def _rank(df: DataFrame) -> DataFrame:
     """``k``, the position inside ``group`` along (file, line, id)."""
-    lead = F.struct(*(first or []), F.col("file"), F.floor(F.col("line") / LINES_PER_CHUNK))
-    return chunked_row_number(df, ["group"], lead, (first or []) + ["file", "line", "id"], "k")
+    lead = F.struct("file", F.floor(F.col("line") / LINES_PER_CHUNK))
+    return chunked_row_number(df, ["group"], lead, ["file", "line", "id"], "k")
 
 
 def _by_value_in_file() -> Column:
@@ -54,44 +55,51 @@ def _by_family() -> Column:
     return F.concat_ws("\n", F.lit("3"), "file", "rule_family")
 
 
+def _assign(findings: DataFrame, pool: DataFrame, claimed: DataFrame | None, tier: int) -> DataFrame:
+    """k-th finding of a group to its k-th free instance, the rest to the first instance."""
+    free = pool if claimed is None else pool.join(claimed.select(F.col("truth_id").alias("id")), "id", "left_anti")
+    free_at = _rank(free).select("group", "k", F.col("id").alias("free_id"))
+    first = pool.groupBy("group").agg(F.min_by("id", F.struct("file", "line", "id")).alias("first_id"))
+    return (_rank(findings).join(free_at, ["group", "k"], "left").join(first, "group")
+            .select(F.col("id").alias("finding_id"), F.coalesce("free_id", "first_id").alias("truth_id"), F.lit(tier).alias("tier")))
+
+
 def attribute_findings(found: DataFrame, truth: DataFrame) -> DataFrame:
     """``(finding_id, truth_id, tier)`` for every finding that could be attributed.
 
     Files are compared by base name.  The tier of a finding follows from which of
-    its keys occur in the truth, so all tiers are ranked and joined together.
-    Both inputs are read several times and are therefore checkpointed first, with
-    hashes in place of raw values.
+    its keys occur in the truth.  Both inputs and the result of tier 1 are read
+    several times and are therefore checkpointed, with hashes in place of raw values.
     """
     hashed = F.sha2(F.col("value"), 256).alias("value")
     f = checkpointed(found.select(F.col("finding_id").alias("id"), basename(F.col("file")).alias("file"), "line", hashed, "rule_family"))
     t = checkpointed(truth.select(F.col("truth_id").alias("id"), basename(F.col("file")).alias("file"), "line", hashed, "rule_family", "kind"))
+    kind_rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _KIND_RANK.items()], F.lit(3))
 
-    # Which keys occur, and how often; aggregates of the truth, combined map-side.
-    groups = [(_by_value_in_file(), "1a", None), (_by_value(), "1b", None), (_by_family(), "3", "kind")]
-    keyed = t.select("*", F.explode(F.array(*[F.struct(key.alias("group"), F.lit(tier).alias("tier")) for key, tier, _ in groups])).alias("g"))
-    keyed = keyed.select("id", "file", "line", "kind", "g.group", "g.tier")
-    sizes = keyed.groupBy("group").agg(F.count("*").alias("n"))
-    first_on_line = t.groupBy("file", "line").agg(F.min("id").alias("line_truth"))
-
+    pools = {name: t.select("id", "file", "line", key.alias("group"), kind_rank.alias("kind_rank"))
+             for name, key in (("a", _by_value_in_file()), ("b", _by_value()), ("c", _by_family()))}
     has_value = F.col("value").isNotNull()
     g = f.select("*", F.when(has_value, _by_value_in_file()).alias("ka"), F.when(has_value, _by_value()).alias("kb"), _by_family().alias("kc"))
-    for key, n in (("ka", "na"), ("kb", "nb"), ("kc", "nc")):
-        g = g.join(sizes.select(F.col("group").alias(key), F.col("n").alias(n)), key, "left")
-    g = g.join(first_on_line, ["file", "line"], "left")
-    tier = F.when(F.col("na").isNotNull() | F.col("nb").isNotNull(), 1).when(F.col("line_truth").isNotNull(), 2).when(F.col("nc").isNotNull(), 3)
-    group = (F.when(F.col("na").isNotNull(), F.col("ka")).when(F.col("nb").isNotNull(), F.col("kb"))
-             .when(F.col("line_truth").isNull() & F.col("nc").isNotNull(), F.col("kc")))
-    n = F.when(F.col("na").isNotNull(), F.col("na")).when(F.col("nb").isNotNull(), F.col("nb")).otherwise(F.col("nc"))
-    placed = checkpointed(g.select("id", "file", "line", "line_truth", tier.alias("tier"), group.alias("group"), n.alias("n")).where(F.col("tier").isNotNull()))
-
-    kind_rank = F.when(F.col("tier") == "3", F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _KIND_RANK.items()], F.lit(3))).otherwise(0)
-    instances = _rank(keyed, [kind_rank]).select("group", "k", F.col("id").alias("truth_id"))
-    ranked = _rank(placed.where(F.col("group").isNotNull()))
-    target = F.when(F.col("k") <= F.col("n"), F.col("k")).otherwise(F.lit(1).cast("bigint"))
-    by_rank = (ranked.select(F.col("id").alias("finding_id"), "tier", "group", target.alias("k"))
-               .join(instances, ["group", "k"]).select("finding_id", "truth_id", "tier"))
-    by_line = placed.where(F.col("group").isNull()).select(F.col("id").alias("finding_id"), F.col("line_truth").alias("truth_id"), "tier")
-    return by_rank.unionByName(by_line)
+    for name, pool in pools.items():
+        # One row per key, with how serious the most serious instance is.
+        known = pool.groupBy("group").agg(F.min("kind_rank").alias(f"kind_{name}"))
+        g = g.join(known.withColumnRenamed("group", f"k{name}"), f"k{name}", "left")
+    g = g.join(t.groupBy("file", "line").agg(F.min("id").alias("line_truth")), ["file", "line"], "left")
+    placed = checkpointed(g.select("id", "file", "line", "line_truth", "kind_c", F.when(F.col("kind_a").isNotNull(), F.col("ka"))
+                                   .when(F.col("kind_b").isNotNull(), F.col("kb")).when(F.col("line_truth").isNotNull(), F.lit("2"))
+                                   .when(F.col("kind_c").isNotNull(), F.col("kc")).alias("group")).where(F.col("group").isNotNull()))
+
+    def tier(prefix: str) -> DataFrame:
+        return placed.where(F.col("group").startswith(prefix)).select("id", "file", "line", "group", "kind_c")
+
+    own_file = _assign(tier("1a"), pools["a"], None, 1)
+    by_value = checkpointed(own_file.unionByName(_assign(tier("1b"), pools["b"], own_file, 1)))
+    by_line = tier("2").join(placed.select("id", "line_truth"), "id").select(
+        F.col("id").alias("finding_id"), F.col("line_truth").alias("truth_id"), F.lit(2).alias("tier"))
+    done = by_value.unionByName(by_line)
+    top = pools["c"].groupBy("group").agg(F.min("kind_rank").alias("top"))
+    serious = pools["c"].join(top, "group").where(F.col("kind_rank") == F.col("top")).drop("top")
+    return done.unionByName(_assign(tier("3"), serious, done, 3))
 
 
 def with_matches(truth: DataFrame, attributed: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def score_precision(matched: DataFrame, found: DataFrame, attributed: DataFrame,
         flagged("secret").alias("secret_sites"), flagged("chaff").alias("chaff_flags"), flagged("suppress").alias("suppress_flags"))
     stray = (found.join(attributed.select("finding_id"), "finding_id", "left_anti").agg(F.count("*").alias("unplanted")))
     s, c, x, u = (F.col(n) for n in ("secret_sites", "chaff_flags", "suppress_flags", "unplanted"))
-    return (instances.crossJoin(F.broadcast(stray))
+    return (beside(instances, stray)
             .withColumn("precision", F.try_divide(s, s + c + x + u))
             .withColumn("precision_without_suppress", F.try_divide(s, s + c + u)))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lodesieve.catalog.sources import SOURCES
@@ -90,10 +91,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], source: str, large_f
         F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
     # Ids are consecutive inside a split, so the smallest one numbers the rest.
     blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    before = blocks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "first_id", "n"))).alias("b"))
-    starts = before.select("file", F.posexplode("b").alias("i", "x"), "b").select(
-        "file", F.col("x.block").alias("block"), F.col("x.first_id").alias("first_id"),
-        F.aggregate(F.slice("b", F.lit(1), F.col("i")), F.lit(0).cast("bigint"), lambda acc, y: acc + y["n"]).alias("offset"))
+    earlier = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", "first_id", F.coalesce(earlier, F.lit(0)).alias("offset"))
     return (rows.join(starts, ["file", "block"])
             .select("source", "file", (F.col("id") - F.col("first_id") + F.col("offset") + 1).cast("int").alias("line"),
                     "text", "mtime_ms", "size_bytes"))

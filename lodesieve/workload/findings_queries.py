@@ -392,18 +392,22 @@ _CONV_SPLIT = """keyed AS (SELECT *, 'AKIA' || upper(translate(substr(md5(conv_i
         CASE WHEN turn % 2 = 0 THEN text || ' ' || left(k, 10) ELSE substr(k, 11) || ' ' || text END AS text FROM keyed)"""
 
 
-def split_conversations(spark, sf_dir):
-    conv = base.table(spark, sf_dir, "conversations").withColumn("even", F.col("turn") - F.col("turn") % 2)
+def split_conversations(conversations):
+    conv = conversations.withColumn("even", F.col("turn") - F.col("turn") % 2)
     k = _key(turn="even")
     text = (F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" "), F.substring(k, 1, 10)))
             .otherwise(F.concat(F.substring(k, 11, 10), F.lit(" "), F.col("text"))))
-    return src.conversation_records(conv.withColumn("text", text))
+    return conv.withColumn("text", text)
 
 
-@query(f"WITH {_CONV_SPLIT}, " + ", ".join(f"{n} AS ({b})" for n, b in _SEAM_CTES) + """
+SPLIT_IN_CONVERSATIONS = f"WITH {_CONV_SPLIT}, " + ", ".join(f"{n} AS ({b})" for n, b in _SEAM_CTES)
+
+
+@query(SPLIT_IN_CONVERSATIONS + """
     SELECT file, unnest([line, line + 1])::int AS line, rule_id, line::varchar || '-' || (line + 1) AS span, md5(value) AS value_md5 FROM split""")
 def scan_boundary_conversations(spark, sf_dir):
-    found = boundary.both_lines(boundary.scan_boundary(split_conversations(spark, sf_dir)))
+    recs = src.conversation_records(split_conversations(base.table(spark, sf_dir, "conversations")))
+    found = boundary.both_lines(boundary.scan_boundary(recs))
     return found.select("file", "line", "rule_id", F.array_join(F.col("span_lines").cast("array<string>"), "-").alias("span"),
                         F.md5("value").alias("value_md5"))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodesieve.workload import findings_queries, rollup_queries
+from lodesieve.workload import findings_queries, rollup_queries, stream_queries
 
-MODULES = (findings_queries, rollup_queries)
+MODULES = (findings_queries, rollup_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,71 @@
+"""Streaming queries, run to the end of their input and read back."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodesieve.session import ROCKSDB, shared_folder
+from lodesieve.streaming import watch as streaming
+from lodesieve.workload import base
+from lodesieve.workload import oracle as O
+from lodesieve.workload.findings_queries import SPLIT_IN_CONVERSATIONS, split_conversations
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+@contextmanager
+def stream_settings(spark: SparkSession):
+    """State store and task count for a stateful query; a running stream cannot change the latter."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                                      spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with keys split over turns, as a stream of records."""
+    schema = base.table(spark, sf_dir, "conversations").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
+    rows = rows.withColumn("arrived", F.col("_metadata.file_modification_time"))
+    return split_conversations(rows).select(
+        F.lit("conversations").alias("source"), F.col("conv_id").cast("string").alias("file"), (F.col("turn") + 1).cast("int").alias("line"),
+        "text", F.lit(0).cast("bigint").alias("mtime_ms"), F.octet_length("text").cast("bigint").alias("size_bytes"), "arrived")
+
+
+@query(SPLIT_IN_CONVERSATIONS + f""", both_lines AS (SELECT rule_id, {O.redact('value')} AS preview, unnest([line, line + 1]) AS line, file FROM split),
+    numbered AS (SELECT rule_id, preview, row_number() OVER (PARTITION BY rule_id, preview ORDER BY file, line) AS nth FROM both_lines)
+    SELECT CASE WHEN nth = 1 THEN 'finding' ELSE 'reexposure' END AS event, nth, rule_id, preview FROM numbered""")
+def watch_conversations(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+
+    def sink(events: DataFrame, batch_id: int) -> None:
+        # One directory per micro-batch, so a repeated batch replaces itself.
+        events.write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+
+    with stream_settings(spark):
+        found = streaming.stream_findings(conversation_stream(spark, sf_dir))
+        running = streaming.watch(found, sink, f"{folder}/checkpoint")
+        running.awaitTermination()
+    return spark.read.parquet(f"{folder}/events").select("event", "nth", "rule_id", "preview")
