@@ -5,7 +5,7 @@ Configurations are one row per file: ``file STRING, content STRING``.
 
 from __future__ import annotations
 
-import json
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodesieve.catalog import paths as P
 from lodesieve.catalog.advisories import ADVISORIES, ADVISORY_SCHEMA
 from lodesieve.catalog.rules import HIGH_RULES
+from lodesieve.functions.json_nodes import nodes, parse
 from lodesieve.functions.regex import to_java
 from lodesieve.functions.text import INVISIBLE_CHARS, basename, version_triple
 from lodesieve.operators.injection import code_point_name, suspicious_invisibles
@@ -63,33 +64,27 @@ def redact_tool_outputs(results: DataFrame) -> DataFrame:
             .drop("_h"))
 
 
-def _walk_hooks(text: str | None) -> list[dict]:
-    try:
-        root = json.loads(text).get("hooks") if text else None
-    except (ValueError, AttributeError, RecursionError):
-        return []
-    if not isinstance(root, (dict, list)):
-        return []
-    events = root.items() if isinstance(root, dict) else ((str(i), v) for i, v in enumerate(root))
-    pending = [(node, event, None) for event, node in events]
-    found, visited = [], 0
-    while pending:
-        visited += 1
-        if visited > MAX_NODES:
-            found.append({"event": None, "matcher": None, "command": None, "state": "truncated"})
-            break
-        node, event, matcher = pending.pop()
-        if isinstance(node, list):
-            pending.extend((child, event, matcher) for child in node)
-        elif isinstance(node, dict):
-            own = node.get("matcher")
-            matcher = own if isinstance(own, str) else matcher
-            command = node.get("command")
-            if isinstance(command, str):
-                found.append({"event": event, "matcher": matcher, "command": command, "state": "command"})
-            elif "command" in node:
-                found.append({"event": event, "matcher": matcher, "command": None, "state": "unrecognized"})
-            pending.extend((child, event, matcher) for key, child in node.items() if key != "command")
+def _hooks_of(text: str | None) -> list[dict]:
+    config = parse(text)
+    root = config.get("hooks") if isinstance(config, dict) else None
+
+    def inherit(note, parent, key):
+        event, matcher, inside_command = note
+        if parent is root:
+            return key, None, False
+        own = parent.get("matcher") if isinstance(parent, dict) else None
+        return event, own if isinstance(own, str) else matcher, inside_command or key == "command"
+
+    found, budget = [], MAX_NODES + 1  # the root itself does not count
+    for value, (event, matcher, inside_command) in islice(nodes(root, (None, None, False), inherit), budget + 1):
+        budget -= 1
+        if budget < 0:
+            return found + [{"event": None, "matcher": None, "command": None, "state": "truncated"}]
+        if isinstance(value, dict) and value is not root and not inside_command and "command" in value:
+            own, command = value.get("matcher"), value["command"]
+            text_command = isinstance(command, str)
+            found.append({"event": event, "matcher": own if isinstance(own, str) else matcher, "command": command if text_command else None,
+                          "state": "command" if text_command else "unrecognized"})
     return found
 
 
@@ -102,7 +97,7 @@ def explode_hooks(configs: DataFrame) -> DataFrame:
     """
     @F.pandas_udf("array<struct<event:string,matcher:string,command:string,state:string>>")
     def hooks(contents: pd.Series) -> pd.Series:
-        return contents.map(_walk_hooks)
+        return contents.map(_hooks_of)
 
     gated = configs.where(F.contains("content", F.lit('"hooks"')))
     return (gated.select("file", F.explode(hooks(F.col("content"))).alias("h")).select("file", "h.*"))
@@ -170,24 +165,11 @@ def strip_json_comments(text: Column) -> Column:
     return F.regexp_replace(no_comments, rf"({_STRING})|,(?=[ \t\r\n]*+[\]}}])", "$1")
 
 
-def _walk_tasks(text: str | None) -> list[str]:
-    try:
-        pending = [json.loads(text)] if text else []
-    except (ValueError, RecursionError):
-        return []
-    found, visited = [], 0
-    while pending and visited < MAX_NODES:
-        visited += 1
-        node = pending.pop()
-        if isinstance(node, list):
-            pending.extend(node)
-        elif isinstance(node, dict):
-            options = node.get("runOptions")
-            if isinstance(options, dict) and options.get("runOn") == "folderOpen":
-                name = node.get("label") or node.get("command") or node.get("script")
-                found.append(name if isinstance(name, str) else "(unnamed task)")
-            pending.extend(node.values())
-    return found
+def _autorun_names(text: str | None) -> list[str]:
+    below = (v for v, _ in islice(nodes(parse(text), None, lambda note, parent, key: None), MAX_NODES))
+    auto = (v for v in below if isinstance(v, dict) and isinstance(v.get("runOptions"), dict) and v["runOptions"].get("runOn") == "folderOpen")
+    names = (v.get("label") or v.get("command") or v.get("script") for v in auto)
+    return [n if isinstance(n, str) else "(unnamed task)" for n in names]
 
 
 def find_autorun_tasks(configs: DataFrame) -> DataFrame:
@@ -197,7 +179,7 @@ def find_autorun_tasks(configs: DataFrame) -> DataFrame:
     """
     @F.pandas_udf("array<string>")
     def tasks(contents: pd.Series) -> pd.Series:
-        return contents.map(_walk_tasks)
+        return contents.map(_autorun_names)
 
     gated = configs.where(F.contains("content", F.lit("folderOpen"))).withColumn("_plain", strip_json_comments(F.col("content")))
     parsed = F.try_parse_json("_plain").isNotNull()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodesieve.functions.json_nodes import nodes, parse
+
 # Limits and accepted media types.
 MAX_BLOCKS = 8
 MAX_DEPTH = 12
@@ -25,26 +27,9 @@ def _image_source(node: dict) -> dict | None:
 
 
 def _blocks(text: str | None) -> list[dict]:
-    try:
-        pending = [(json.loads(text), 0)] if text else []
-    except (ValueError, RecursionError):
-        return []
-    found: list[dict] = []
-    while pending and len(found) < MAX_BLOCKS:
-        node, depth = pending.pop()
-        if depth > MAX_DEPTH:
-            continue
-        if isinstance(node, dict):
-            source = _image_source(node)
-            if source:
-                found.append({"media_type": source["media_type"], "data": source["data"]})
-                continue
-            children = list(node.values())
-        else:
-            children = node if isinstance(node, list) else []
-        # Reversed, because the stack is read from its end.
-        pending.extend((c, depth + 1) for c in reversed(children))
-    return found
+    inside = (v for v, depth in nodes(parse(text), 0, lambda depth, parent, key: depth + 1) if depth <= MAX_DEPTH and isinstance(v, dict))
+    sources = (s for s in map(_image_source, inside) if s)
+    return [{"media_type": s["media_type"], "data": s["data"]} for s in islice(sources, MAX_BLOCKS)]
 
 
 def extract_image_blocks(records: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,25 +121,19 @@ def explode_json_documents(df: DataFrame, col: str = "text", items: str = "histo
             .select("source", "file", (F.col("i") + 1).alias("line"), "text", "mtime_ms", "size_bytes"))
 
 
+# A whole string, an opening or a closing brace; brackets inside strings are thus never seen.
+_JSON_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.DOTALL)
+
+
 def _complete_objects(text: str) -> list[str]:
-    found, depth, start, quoted, escaped = [], 0, 0, False, False
-    for i, ch in enumerate(text):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            else:
-                quoted = ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif ch == "}" and depth > 0:
-            depth -= 1
-            if depth == 0:
-                found.append(text[start:i + 1])
+    found, opened = [], []
+    for mark in _JSON_MARKS.finditer(text):
+        if mark[0] == "{":
+            opened.append(mark.start())
+        elif mark[0] == "}" and opened:
+            start = opened.pop()
+            if not opened:
+                found.append(text[start:mark.end()])
     return found
 
 
