@@ -148,12 +148,15 @@ def version_triple(version: Column) -> Column:
 
 def escape_invisibles(text: Column) -> Column:
     """Show zero-width characters as ``\\u{HEX}``."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S](?<!{INVISIBLE_CHARS})|{INVISIBLE_CHARS}"), F.lit(0))
-    shown = F.transform(pieces, lambda ch: F.when(
-        ch.rlike(INVISIBLE_CHARS), F.concat(F.lit(r"\u{"), F.hex(F.ascii(ch)), F.lit("}"))).otherwise(ch))
-    return F.when(text.rlike(INVISIBLE_CHARS), F.array_join(shown, "")).otherwise(text)
+    def spelled(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(rf"[\s\S](?<!{INVISIBLE_CHARS})|{INVISIBLE_CHARS}"), F.lit(0))
+        shown = F.transform(pieces, lambda ch: F.when(
+            ch.rlike(INVISIBLE_CHARS), F.concat(F.lit(r"\u{"), F.hex(F.ascii(ch)), F.lit("}"))).otherwise(ch))
+        return F.when(t.rlike(INVISIBLE_CHARS), F.array_join(shown, "")).otherwise(t)
+
+    return bind(text, spelled)
 
 
 def truncate(text: Column, limit: int) -> Column:
     """Cut long display text and mark the cut."""
-    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
+    return bind(text, lambda t: F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit("…"))).otherwise(t))

@@ -28,6 +28,24 @@ def upsert_ledger(ledger: DataFrame, updates: DataFrame) -> tuple[DataFrame, Dat
     return latest, updates.where(~F.coalesce(valid, F.lit(False)))
 
 
+def resolutions(fingerprints: DataFrame, kind: str, at: str, note: str | None = None) -> DataFrame:
+    """Updates that settle every fingerprint of a table (``fingerprint``): kind ``ack`` or ``dismiss``."""
+    if kind not in ("ack", "dismiss"):
+        raise ValueError(f"unknown kind of resolution: {kind}")
+    return fingerprints.select("fingerprint", F.lit(kind).alias("kind"), F.to_timestamp(F.lit(at)).alias("at"),
+                               F.lit(note).cast("string").alias("note"))
+
+
+def acknowledge(ledger: DataFrame, fingerprints: DataFrame, at: str, note: str | None = None) -> DataFrame:
+    """The ledger after these findings were rotated."""
+    return upsert_ledger(ledger, resolutions(fingerprints, "ack", at, note))[0]
+
+
+def dismiss(ledger: DataFrame, fingerprints: DataFrame, at: str, note: str | None = None) -> DataFrame:
+    """The ledger after these findings were judged to be no secrets."""
+    return upsert_ledger(ledger, resolutions(fingerprints, "dismiss", at, note))[0]
+
+
 def load_ledger(states: DataFrame, col: str = "value") -> DataFrame:
     """Ledger rows from JSON state documents; bad entries are dropped one by one.
 

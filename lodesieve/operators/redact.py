@@ -70,11 +70,11 @@ PREVIEW_CHARS = 160
 
 def sanitize_note(note: Column) -> Column:
     """A free-text note that is safe to store: control characters out, any rule's match masked, bounded."""
-    clean = strip_control_chars(note)
-    return truncate(redacted(clean, DEFAULT_RULES + NOISY_RULES, spare_examples=False), NOTE_CHARS)
+    masked = bind(strip_control_chars(note), lambda t: redacted(t, DEFAULT_RULES + NOISY_RULES, spare_examples=False))
+    return truncate(masked, NOTE_CHARS)
 
 
 def safe_preview(text: Column, limit: int = PREVIEW_CHARS) -> Column:
     """A command or name that is safe to show: masked, invisible characters spelled out, bounded."""
-    clean = strip_control_chars(text)
-    return truncate(escape_invisibles(redacted(clean, DEFAULT_RULES, spare_examples=False)), limit)
+    masked = bind(strip_control_chars(text), lambda t: redacted(t, DEFAULT_RULES, spare_examples=False))
+    return truncate(escape_invisibles(masked), limit)

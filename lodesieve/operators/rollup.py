@@ -85,6 +85,12 @@ def guidance_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(GUIDANCE, GUIDANCE_SCHEMA))
 
 
+def explain(spark: SparkSession, rule_id: str) -> DataFrame:
+    """What a rule looks for and what to do about a finding of it; one row, also for an unknown rule."""
+    asked = spark.range(1).select(F.lit(rule_id).alias("rule_id"))
+    return with_guidance(asked, guidance_table(spark))
+
+
 def with_guidance(findings: DataFrame, guidance: DataFrame) -> DataFrame:
     """Add guidance; an unknown rule gets a generic entry that says so.
 

@@ -617,23 +617,26 @@ def raw_findings(spark, sf_dir):
     return base.raw_findings(spark, sf_dir).select(*_FINDING_COLS)
 
 
-def full_scan_sql() -> str:
+def full_scan_ctes() -> list[tuple[str, str]]:
     """Default scan: raw and paired, decoded, and split values on both of their lines."""
     dec = [(n if n in ("runs", "bytes", "texts", "readable") else f"dec_{n}", b) for n, b in _DECODED[len(PLANT_CTES):]]
     dec = [(n, b.replace("FROM plain", "FROM dec_plain")) for n, b in dec]
     seam = [(f"seam_{n}" if n == "m" else n, b.replace("FROM m", "FROM seam_m")) for n, b in _SEAM_CTES]
-    no_context = f"{O.REASON}"
     # Default rules only: the broad ones are opt-in.
     base_ctes = [(n, b) for n, b in FINDINGS]
     base_ctes[len(PLANT_CTES)] = ("m", O.all_rules(R.DEFAULT_RULES))
-    return statement(base_ctes + dec + seam + [
-        ("extra", f"""SELECT *, {no_context} AS suppressed_reason FROM (
+    return base_ctes + dec + seam + [
+        ("extra", f"""SELECT *, {O.REASON} AS suppressed_reason FROM (
             SELECT DISTINCT source, file, line, rule_id, label, 'high' AS confidence, value, 'decoded' AS pass, NULL AS before,
                 CASE WHEN regexp_matches(run, '[-_]') THEN 'base64url' ELSE 'base64' END AS encoding FROM dec_m
             UNION ALL SELECT source, file, unnest([line, line + 1])::int, rule_id, label, confidence, value, 'boundary', NULL, NULL FROM split)"""),
-        ("everything", f"""SELECT rule_id, confidence, pass, source, file, line, preview, NULL AS encoding FROM findings
-            UNION ALL SELECT rule_id, confidence, pass, source, file, line, {O.redact('value')}, encoding FROM extra WHERE suppressed_reason IS NULL"""),
-    ], f"SELECT *, {O.fingerprint('rule_id', 'preview', 'file')} AS fingerprint FROM everything")
+        ("everything", f"""SELECT rule_id, confidence, pass, source, file, line, preview, NULL AS encoding, value FROM findings
+            UNION ALL SELECT rule_id, confidence, pass, source, file, line, {O.redact('value')}, encoding, value FROM extra WHERE suppressed_reason IS NULL"""),
+    ]
+
+
+def full_scan_sql() -> str:
+    return statement(full_scan_ctes(), f"SELECT * EXCLUDE (value), {O.fingerprint('rule_id', 'preview', 'file')} AS fingerprint FROM everything")
 
 
 _SCAN_COLS = ("rule_id", "confidence", "pass", "source", "file", "line", "preview", "encoding", "fingerprint")
