@@ -25,13 +25,16 @@ _B = "[A-Za-z0-9+/_-]"
 _B_OR_PAD = "[A-Za-z0-9+/=_-]"
 # A run that continues after a pure line break, must itself be 4 characters long.
 _NEXT_RUN = rf"[\r\n]++(?={_B_OR_PAD}{{4}})"
+# A candidate starts with its run or, after padding, inside it; the run as a whole has 4 characters.
+_START = (rf"(?:(?<!{_B_OR_PAD})(?={_B_OR_PAD}{{4}})|(?<={_B_OR_PAD}{{2}}=)|(?<={_B_OR_PAD}=)(?={_B_OR_PAD}{{2}})"
+          rf"|(?<==)(?={_B_OR_PAD}{{3}}))")
 CANDIDATE = (
-    rf"(?:(?<!{_B_OR_PAD})(?={_B_OR_PAD}{{4}})|(?<==)){_B}++"
+    rf"{_START}{_B}++"
     rf"(?:=++|(?:{_NEXT_RUN}{_B}++(?!=))*+(?:{_NEXT_RUN}{_B}*+=++)?+)"
 )
 # No candidate without 24 characters in a row, or a wrapped run.  Only starts of
 # runs are tried, so ordinary words are walked once.
-DECODE_GATE = rf"(?<!{_B}){_B}{{4}}(?:{_B}{{{MIN_CHARS - 4}}}|{_B}*+(?:\\[nr]|[\r\n]))"
+DECODE_GATE = rf"(?<!{_B}){_B}(?:{_B}{{{MIN_CHARS - 1}}}|{_B}*+(?:\\[nr]|[\r\n]))"
 
 
 def normalize_escapes(text: Column) -> Column:
