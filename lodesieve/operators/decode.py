@@ -34,7 +34,7 @@ CANDIDATE = (
 )
 # No candidate without 24 characters in a row, or a wrapped run.  Only starts of
 # runs are tried, so ordinary words are walked once.
-DECODE_GATE = rf"(?<!{_B}){_B}(?:{_B}{{{MIN_CHARS - 1}}}|{_B}*+(?:\\[nr]|[\r\n]))"
+DECODE_GATE = rf"(?<!{_B_OR_PAD}){_B_OR_PAD}(?:{_B_OR_PAD}{{{MIN_CHARS - 1}}}|{_B_OR_PAD}*+(?:\\[nr]|[\r\n]))"
 
 
 def normalize_escapes(text: Column) -> Column:
