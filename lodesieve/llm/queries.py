@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesieve.llm import chat, mixing, sharding, simhash
+from lodesieve.llm import chat, decontaminate, embeddings, mixing, quality, sharding, simhash, substrings, tokens, toxicity
 from lodesieve.llm.common import table
 
 SHARDS = 40
+TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +39,44 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chats": op2_format_chats,
     "op3_simhash": op3_simhash,
     "op4_shard": op4_shard,
+    "op5_count_tokens": op5_count_tokens,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_embeddings": op8_embeddings,
+    "op9_quality": op9_quality,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE: dict[str, str] = {
@@ -63,4 +97,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM lengths GROUP BY conv_id""",
+    "op7_decontaminate": r"""
+WITH doc_words AS (
+  SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+item_words AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS seq
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM item_words WHERE len(w) > 0)),
+starts AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM doc_words WHERE len(w) > 0),
+spots AS (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS seq FROM starts, (SELECT DISTINCT n FROM windows) WHERE i + n - 1 <= len(w)),
+hits AS (SELECT r, i, n, item FROM spots JOIN windows USING (n, seq)),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op10_substrings": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM words WHERE len(w) >= 35),
+windows AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS seq FROM starts),
+again AS (SELECT seq FROM windows GROUP BY seq HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS k FROM windows SEMI JOIN again USING (seq)),
+places AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM words WHERE len(w) > 0),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM places ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)""",
+    "op8_embeddings": r"""
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+valid AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+  AND len(list_filter(x, lambda v: v <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id FROM valid a JOIN valid b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(a, b) AS (SELECT r, r FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+parts AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN vectors ON reach.b = vectors.r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vectors.r)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN parts USING (r)""",
 }
