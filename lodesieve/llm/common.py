@@ -59,13 +59,17 @@ def numbered(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
             .withColumn(name, F.col("_offset") + inside).drop("_part", "_offset", "_local"))
 
 
-def attached(docs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """``docs`` with one value of ``values(doc_id, text_key, column)`` for each row.
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, key, row): each row as one struct, so that no column of docs can clash with columns of an operator."""
+    return docs.select(F.col("doc_id").alias("id"), text_key().alias("key"), F.struct(*docs.columns).alias("row"))
+
+
+def attached(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(row, value): each row of docs as a struct, with one value of ``values(doc_id, text_key, value)``.
 
     Rows that agree in doc_id and text take the values in ascending order, one each. The text moves once, by its key.
     """
-    found = values.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(column)).alias("_all"))
-    keyed = docs.withColumn("_key", text_key())
-    rows = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_key"] == found["_key"])).select(keyed["*"], "_all")
-    order = Window.partitionBy("doc_id", "_key").orderBy(F.size("_all"))
-    return rows.withColumn(column, F.element_at("_all", F.row_number().over(order))).drop("_all", "_key")
+    found = values.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    rows = packed(docs).join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.size("values")))
+    return rows.withColumn("turn", turn).select("row", F.element_at("values", F.col("turn")).alias("value"))

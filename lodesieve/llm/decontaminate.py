@@ -266,7 +266,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window occurs."""
-    return find_leaks(docs, benchmark).where(F.size("leak_spans") == 0).select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    found = find_leaks(docs.select("text", F.struct(*others).alias("others")), benchmark).where(F.size("leak_spans") == 0)
+    return found.select(*(F.col(c if c == "text" else f"others.`{c}`").alias(c) for c in docs.columns))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

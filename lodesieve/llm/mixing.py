@@ -134,6 +134,6 @@ def mix_counts(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
-    counts = mix_counts(docs, seed).select("doc_id", "text_key", "copies")
-    rows = attached(docs, counts, "copies").where("copies > 0")
-    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    counts = mix_counts(docs, seed).select("doc_id", "text_key", F.col("copies").alias("value"))
+    rows = attached(docs, counts).where("value > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("value")))).select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesieve.llm.common import numbered
+from lodesieve.llm.common import attached, numbered, text_key
 
 LAW = "rows"
 
@@ -34,3 +34,12 @@ def shard(df: DataFrame, n_shards: int, key: str = "doc_id", source: str = "sour
     number = F.expr(f"cast((_at * {n_shards}) div {max(total, 1)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}")
     return placed.withColumn("shard", number).withColumn("slot", at - first).drop("_draw", "_share", "_at")
+
+
+def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
+    """The rows of docs with shard and slot; columns of these names are replaced. Texts move once, when slots are known."""
+    narrow = docs.select("doc_id", "source", text_key().alias("text_key"))
+    placed = shard(narrow, n_shards, ties=("text_key",))
+    values = placed.select("doc_id", "text_key", F.struct("shard", "slot").alias("value"))
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return attached(docs, values).select(*(F.col(f"row.`{c}`").alias(c) for c in own), "value.shard", "value.slot")

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodesieve.llm.common import saved
+from lodesieve.llm.common import packed, saved, text_key
 from lodesieve.llm.components import components
 
 SHINGLE = 3
@@ -56,15 +57,15 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
 class _Forest:
@@ -178,18 +179,20 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+    """(doc_id, text_key, fp, component_id, group) for each row of docs; group tells components apart even if ids repeat."""
     of_docs = saved(fingerprints(docs))
     nodes = saved(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(nodes.select("fp"), budget))
-    rooted = nodes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return of_docs.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    ids = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_fp = rooted.join(ids, "group").select("fp", "component_id", "group")
+    return of_docs.join(of_fp, "fp", "left").select("doc_id", "text_key", "fp", "component_id", "group")
 
 
 def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """One document of each group: the row with the least doc_id; of rows that repeat it, one."""
-    kept = near_groups(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if docs.columns else rows
+    """One row of each group: that with the least doc_id (nulls last), of several such rows one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    kept = near_groups(docs, budget).groupBy("group").agg(first.alias("first")).select("first.*")
+    rows = packed(docs).join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    return rows.withColumn("turn", turn).where("turn = 1").select("row.*")

@@ -216,6 +216,7 @@ class Linear:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, Linear, DataFrame]:
     """The voters, the classifier, and the votes of all documents."""
+    docs = docs.select("doc_id", "text")
     known = saved(training_labels(labels, "toxic", MODULUS, REMAINDER))
     ids = saved(known.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE))
     sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["label_id"]).select("text", "y")  # the broadcast has SAMPLE rows at most
