@@ -4,8 +4,8 @@ Words are runs of non-blanks after A-Z are lower-cased; 3-word shingles vote wit
 fingerprints are one leaf of the trie. Pairs of nodes are traversed together from the root: the differing bits of the two
 paths add up, and a pair whose sum exceeds the budget is pruned with all that is below it.
 
-Spark deals out the pairs of nodes at a depth that grows with the number of fingerprints; each task walks down from its
-pair. A node with more fingerprints than a task should hold is dealt out in parts, all of which meet. A task returns a
+Spark deals out the nodes at a depth that grows with the number of fingerprints: a node's fingerprints stay, and visit
+those of the nodes above it that the budget allows; each task walks down from its node and from its visitors' root. A node with more fingerprints than a task should hold is dealt out in parts, all of which meet. A task returns a
 spanning forest of the links that it finds, never all pairs; components of the forest's edges are those of the links.
 
 Null and empty texts, and texts of blanks, have fingerprint zero and link like any other. Fewer than three words: one
@@ -31,8 +31,8 @@ from lodesieve.llm.components import components
 SHINGLE = 3
 SEED = 42
 BUDGET = 2
-NODE = 1 << 15     # fingerprints of a node that a task walks, on average and at most in one part
-MAX_DEPTH = 16     # of the nodes that are dealt out
+NODE = 1 << 16     # fingerprints of a node that a task walks, on average and at most in one part
+DEPTHS = 4, 16     # of the nodes that are dealt out, at least and at most
 _DIRECT = 48       # pairs below this many are compared without further descent
 _BLOCK = 1 << 19   # node pairs held at once
 _VOTES = 1 << 16   # shingles counted at once
@@ -138,14 +138,13 @@ def _compare(a, b, same, budget, alo, ahi, blo, bhi, found) -> None:
 
 
 def _links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    same = bool((pdf["a"] == pdf["b"]).iloc[0])
+    visits = pdf["visits"].to_numpy()
     values = pdf["fp"].to_numpy().view(np.uint64)
-    first = np.sort(values if same else values[pdf["first"].to_numpy()])
-    other = first if same else np.sort(values[~pdf["first"].to_numpy()])
-    forest = _Forest(len(first) + (0 if same else len(other)))
-    shift = 0 if same else len(first)
-    walk(first, other, same, budget, lambda i, j: forest.add(i, j + shift))
-    all_of = (first if same else np.concatenate((first, other))).view(np.int64)
+    own, guests = np.sort(values[~visits]), np.sort(values[visits])
+    forest = _Forest(len(own) + len(guests))
+    walk(own, own, True, budget, forest.add)
+    walk(own, guests, False, budget, lambda i, j: forest.add(i, j + len(own)))
+    all_of = np.concatenate((own, guests)).view(np.int64)
     hooked = np.flatnonzero(forest.root != np.arange(len(forest.root)))
     return pd.DataFrame({"a": all_of[hooked], "b": all_of[forest.root[hooked]]})
 
@@ -153,8 +152,8 @@ def _links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
 def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fp`` whose components are those of all links within the budget."""
     n = distinct.count()
-    depth = min(MAX_DEPTH, max(0, (max(n, 1) - 1) // NODE).bit_length())
-    prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    depth = min(DEPTHS[1], max(DEPTHS[0], (max(0, n - 1) // NODE).bit_length()))
+    prefix = F.shiftrightunsigned("fp", 64 - depth)
     parts = np.ones(1 << depth, np.int64)
     for row in distinct.groupBy(prefix.alias("node")).count().where(F.col("count") > NODE).collect():  # 2^16 rows at most
         parts[row["node"]] = -(-row["count"] // NODE)
@@ -164,18 +163,17 @@ def near_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             fp = pdf["fp"].to_numpy().view(np.uint64)
-            node = (fp >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(fp), np.int64)
+            node = (fp >> np.uint64(64 - depth)).astype(np.int64)
             own = first_part[node] + ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts[node]
             for mask in masks:
                 to = node ^ mask
                 for k in range(int(parts[to].max(initial=0))):
-                    there = parts[to] > k
-                    other = first_part[to[there]] + k
-                    mine = own[there]
-                    yield pd.DataFrame({"a": np.minimum(mine, other), "b": np.maximum(mine, other), "first": mine <= other, "fp": fp[there].view(np.int64)})
+                    at = first_part[to] + k
+                    there = (parts[to] > k) & (at >= own)
+                    yield pd.DataFrame({"part": at[there], "visits": at[there] > own[there], "fp": fp[there].view(np.int64)})
 
-    pairs = distinct.select("fp").mapInPandas(deal, "a bigint, b bigint, first boolean, fp bigint")
-    return pairs.groupBy("a", "b").applyInPandas(lambda pdf: _links(pdf, budget), "a bigint, b bigint")
+    dealt = distinct.select("fp").mapInPandas(deal, "part bigint, visits boolean, fp bigint")
+    return dealt.groupBy("part").applyInPandas(lambda pdf: _links(pdf, budget), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
