@@ -26,8 +26,6 @@ SENSITIVE_PATHS: tuple[tuple[str, str], ...] = (
     ("a secrets file", _LEFT + r"secrets?\.(?:json|ya?ml)" + _RIGHT),
 )
 
-GUARDED_TOOLS = ("Bash", "Read")
-
 # Signatures of hook commands, in order.
 DROPPER_NAME = r"\bsetup\.mjs\b"
 DOWNLOAD_TO_SHELL = r"\b(?:curl|wget)\b[^|;&\n]{0,200}\|\s*(?:ba|z|da|fi)?sh\b"

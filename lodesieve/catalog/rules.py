@@ -228,7 +228,7 @@ PII_RULES: tuple[Rule, ...] = (
 
 SEED_PHRASE_RULE = Rule(
     "crypto_seed_phrase", "Crypto wallet seed phrase (BIP-39, checksum-validated)", "high",
-    r"\b[a-z]+(?: [a-z]+){11,99}\b", r"[a-z]+(?: [a-z]+){11}", category="pii",
+    r"\b[a-z]++(?: [a-z]++\b){11,}+", r"[a-z]+(?: [a-z]+){11}", category="pii",
            needles=(" ",))
 
 # Prompt-injection markers, opt-in.

@@ -5,8 +5,6 @@ Configurations are one row per file: ``file STRING, content STRING``.
 
 from __future__ import annotations
 
-from itertools import islice
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +19,6 @@ from lodesieve.operators.injection import code_point_name, suspicious_invisibles
 from lodesieve.operators.redact import first_hit, redacted, safe_preview
 
 INTEGRITY_COLUMNS = ("severity", "kind", "file", "detail")
-MAX_NODES = 10_000
 
 
 def sensitive_path_label(text: Column) -> Column:
@@ -75,11 +72,8 @@ def _hooks_of(text: str | None) -> list[dict]:
         own = parent.get("matcher") if isinstance(parent, dict) else None
         return event, own if isinstance(own, str) else matcher, inside_command or key == "command"
 
-    found, budget = [], MAX_NODES + 1  # the root itself does not count
-    for value, (event, matcher, inside_command) in islice(nodes(root, (None, None, False), inherit), budget + 1):
-        budget -= 1
-        if budget < 0:
-            return found + [{"event": None, "matcher": None, "command": None, "state": "truncated"}]
+    found = []
+    for value, (event, matcher, inside_command) in nodes(root, (None, None, False), inherit):
         if isinstance(value, dict) and value is not root and not inside_command and "command" in value:
             own, command = value.get("matcher"), value["command"]
             text_command = isinstance(command, str)
@@ -91,9 +85,9 @@ def _hooks_of(text: str | None) -> list[dict]:
 def explode_hooks(configs: DataFrame) -> DataFrame:
     """Every ``command`` below ``hooks``, at any depth, with its event and inherited matcher.
 
-    A command that is not text is ``unrecognized``; a file with more than 10,000
-    nodes is ``truncated``.  The depth is not bounded, so the walk is a small
-    vectorised function; only files that mention hooks reach it.
+    A command that is not text is ``unrecognized``.  Neither depth nor size is
+    bounded, so the walk is a small vectorised function, linear in the file; only
+    files that mention hooks reach it.
     """
     @F.pandas_udf("array<struct<event:string,matcher:string,command:string,state:string>>")
     def hooks(contents: pd.Series) -> pd.Series:
@@ -146,8 +140,8 @@ def audit_hooks(configs: DataFrame, home: str | None = None) -> DataFrame:
                      F.coalesce(F.concat(F.lit(" ("), safe_preview(F.col("matcher"), 40), F.lit(")")), F.lit("")))
     detail = F.when(F.col("state") == "command", F.concat(where, F.lit(": "), F.coalesce("signature", F.lit("runs automatically")),
                                                          F.lit(": "), safe_preview(F.col("command")))).otherwise(where)
-    kind = F.when(F.col("state") == "command", "hook").when(F.col("state") == "truncated", "unwalkable-config").otherwise("hook-unrecognized")
-    severity = F.when(F.col("state") == "command", F.col("severity")).when(F.col("state") == "truncated", "warn").otherwise("info")
+    kind = F.when(F.col("state") == "command", "hook").otherwise("hook-unrecognized")
+    severity = F.when(F.col("state") == "command", F.col("severity")).otherwise("info")
     return (hooks.select(severity.alias("severity"), kind.alias("kind"), "file", detail.alias("detail"))
             .unionByName(broken.select(F.lit("warn").alias("severity"), F.lit("unparseable-config").alias("kind"), "file",
                                        F.lit("not valid JSON; the text was checked for signatures instead").alias("detail")))
@@ -166,7 +160,7 @@ def strip_json_comments(text: Column) -> Column:
 
 
 def _autorun_names(text: str | None) -> list[str]:
-    below = (v for v, _ in islice(nodes(parse(text), None, lambda note, parent, key: None), MAX_NODES))
+    below = (v for v, _ in nodes(parse(text), None, lambda note, parent, key: None))
     auto = (v for v in below if isinstance(v, dict) and isinstance(v.get("runOptions"), dict) and v["runOptions"].get("runOn") == "folderOpen")
     names = (v.get("label") or v.get("command") or v.get("script") for v in auto)
     return [n if isinstance(n, str) else "(unnamed task)" for n in names]
@@ -322,13 +316,12 @@ def invisibles_with_lines(content: Column, suspicious: bool) -> Column:
 
 
 def summarize_with_lines(found: Column) -> Column:
-    """``U+200B ×3 (lines 1, 4); ...`` with at most five lines per character."""
+    """``U+200B ×3 (lines 1, 4); ...`` with all lines of each character."""
     def one(char: Column) -> Column:
         mine = F.filter(found, lambda f: f["char"] == char)
         lines = F.array_distinct(F.transform(mine, lambda f: f["line"]))
         return F.concat(code_point_name(char), F.lit(" ×"), F.size(mine).cast("string"),
                         F.when(F.size(lines) == 1, " (line ").otherwise(" (lines "),
-                        F.array_join(F.slice(lines, 1, 5).cast("array<string>"), ", "),
-                        F.when(F.size(lines) > 5, ", …").otherwise(""), F.lit(")"))
+                        F.array_join(lines.cast("array<string>"), ", "), F.lit(")"))
 
     return F.array_join(F.transform(F.array_distinct(F.transform(found, lambda f: f["char"])), one), "; ")

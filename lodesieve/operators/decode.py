@@ -15,10 +15,8 @@ from lodesieve.catalog.rules import HIGH_RULES, Rule
 from lodesieve.functions.text import base64_bytes, bind
 from lodesieve.operators.extract import explode_hits, passes_gate, rule_hits
 
-# Limits of a candidate.
+# The shortest candidate and its share of printable bytes.  There is no longest one.
 MIN_CHARS = 24
-MAX_CHARS = 90000
-MAX_BYTES = 65536
 PRINTABLE_SHARE = 0.85
 
 _B = "[A-Za-z0-9+/_-]"
@@ -51,10 +49,10 @@ def decode_to_text(encoded: Column) -> Column:
     def as_text(raw: Column) -> Column:
         printable = F.length(F.regexp_replace(F.decode(raw, "ISO-8859-1"), r"[^\t\n\r -~]", ""))
         size = F.octet_length(raw)
-        is_text = (size > 0) & (size <= MAX_BYTES) & (printable >= PRINTABLE_SHARE * size)
+        is_text = (size > 0) & (printable >= PRINTABLE_SHARE * size)
         return F.when(is_text, F.struct(F.make_valid_utf8(raw.cast("string")).alias("text"), encoding.alias("encoding")))
 
-    return bind(F.when(F.length(encoded).between(MIN_CHARS, MAX_CHARS), base64_bytes(encoded)), as_text)
+    return bind(F.when(F.length(encoded) >= MIN_CHARS, base64_bytes(encoded)), as_text)
 
 
 def decoded_texts(text: Column) -> Column:

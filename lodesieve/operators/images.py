@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesieve.functions.json_nodes import nodes, parse
 
-# Limits and accepted media types.
-MAX_BLOCKS = 8
-MAX_DEPTH = 12
-MAX_CHARS = 30_000_000
+# Accepted media types.
 MEDIA_TYPES = ("image/png", "image/jpeg", "image/webp", "image/gif")
 
 
@@ -22,14 +17,12 @@ def _image_source(node: dict) -> dict | None:
     if node.get("type") != "image" or not isinstance(source, dict) or source.get("type") != "base64":
         return None
     data = source.get("data")
-    fits = isinstance(data, str) and 0 < len(data) <= MAX_CHARS
-    return source if fits and source.get("media_type") in MEDIA_TYPES else None
+    return source if isinstance(data, str) and data and source.get("media_type") in MEDIA_TYPES else None
 
 
 def _blocks(text: str | None) -> list[dict]:
-    inside = (v for v, depth in nodes(parse(text), 0, lambda depth, parent, key: depth + 1) if depth <= MAX_DEPTH and isinstance(v, dict))
-    sources = (s for s in map(_image_source, inside) if s)
-    return [{"media_type": s["media_type"], "data": s["data"]} for s in islice(sources, MAX_BLOCKS)]
+    inside = (v for v, _ in nodes(parse(text), None, lambda note, parent, key: None) if isinstance(v, dict))
+    return [{"media_type": s["media_type"], "data": s["data"]} for s in map(_image_source, inside) if s]
 
 
 def extract_image_blocks(records: DataFrame) -> DataFrame:

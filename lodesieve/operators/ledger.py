@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.functions.text import FINGERPRINT_PATTERN, strip_control_chars
@@ -49,7 +49,8 @@ def dismiss(ledger: DataFrame, fingerprints: DataFrame, at: str, note: str | Non
 def load_ledger(states: DataFrame, col: str = "value") -> DataFrame:
     """Ledger rows from JSON state documents; bad entries are dropped one by one.
 
-    A document that is not JSON or has another version counts as empty.
+    A document that is not JSON or has another version counts as empty, and a time
+    that cannot be read is NULL.
     """
     state = F.try_variant_get(F.try_parse_json(F.col(col)), "$", _STATE_TYPE)
     parsed = states.select(state.alias("s")).where(F.col("s.v") == 1)
@@ -65,4 +66,13 @@ def load_ledger(states: DataFrame, col: str = "value") -> DataFrame:
         return F.when(F.schema_of_variant(value) == "STRING", strip_control_chars(plain))
 
     return (entries.where(F.col("fingerprint").rlike(FINGERPRINT_PATTERN) & is_object)
-            .select("fingerprint", "kind", text("at").alias("at"), text("note").alias("note")))
+            .select("fingerprint", "kind", F.try_to_timestamp(text("at")).alias("at"), text("note").alias("note")))
+
+
+def write_ledger(ledger: DataFrame, path: str) -> None:
+    """A new version of the ledger; an existing path is never overwritten, so readers of an older version stay safe."""
+    ledger.select("fingerprint", "kind", "at", "note").write.mode("errorifexists").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 from collections.abc import Iterable
 
 import pandas as pd
@@ -66,23 +67,23 @@ def checksum_holds(indices: list[int]) -> bool:
     return int.from_bytes(digest, "big") >> (256 - check_bits) == check
 
 
-def phrase_in(run: str, index_of: dict[str, int]) -> str | None:
-    """Leftmost, then longest, valid phrase inside a run of lower-case words."""
-    words = run.split(" ")
-    known = [index_of.get(w, -1) for w in words]
-    # reach[i]: how many listed words follow from i on, so hopeless starts cost nothing.
-    reach = [0] * (len(known) + 1)
-    for i in range(len(known) - 1, -1, -1):
-        reach[i] = reach[i + 1] + 1 if known[i] >= 0 else 0
-    for start in range(len(known)):
-        for size in PHRASE_LENGTHS:
-            if size <= reach[start] and checksum_holds(known[start:start + size]):
-                return " ".join(words[start:start + size])
-    return None
+def phrases_in(run: str, index_of: dict[str, int]) -> list[str]:
+    """The valid phrases inside a run of lower-case words: from the left, longest first, without overlap."""
+    found, words = [], run.split(" ")
+    for listed, stretch in groupby(enumerate(words), key=lambda w: w[1] in index_of):
+        at = [i for i, _ in stretch] if listed else []
+        numbers = [index_of[words[i]] for i in at]
+        start = 0
+        while len(at) - start >= PHRASE_LENGTHS[-1]:
+            size = next((n for n in PHRASE_LENGTHS if start + n <= len(at) and checksum_holds(numbers[start:start + n])), None)
+            if size:
+                found.append(" ".join(words[at[start]:at[start] + size]))
+            start += size or 1
+    return found
 
 
 def narrow_seed_phrases(matches: DataFrame, wordlist: list[str]) -> DataFrame:
-    """Reduce runs of words to the valid phrase inside; runs without one are dropped.
+    """Reduce runs of words to the valid phrases inside; runs without one are dropped.
 
     The checksum needs numbers of 132 to 264 bits, so this is the one personal-data
     rule with a Python function.  It sees runs of twelve or more lower-case words,
@@ -92,14 +93,13 @@ def narrow_seed_phrases(matches: DataFrame, wordlist: list[str]) -> DataFrame:
         raise ValueError(f"a mnemonic word list has {WORDLIST_SIZE} words")
     index_of = {w: i for i, w in enumerate(wordlist)}
 
-    @F.pandas_udf("string")
-    def phrase(runs: pd.Series) -> pd.Series:
-        return runs.map(lambda run: None if run is None else phrase_in(run, index_of))
+    @F.pandas_udf("array<string>")
+    def phrases(runs: pd.Series) -> pd.Series:
+        return runs.map(lambda run: None if run is None else phrases_in(run, index_of))
 
     is_run = F.col("rule_id") == SEED_PHRASE_RULE.id
-    narrowed = matches.withColumn("_phrase", phrase(F.when(is_run, F.col("value"))))
-    return (narrowed.withColumn("value", F.when(is_run, F.col("_phrase")).otherwise(F.col("value")))
-            .where(F.col("value").isNotNull()).drop("_phrase"))
+    narrowed = matches.withColumn("_phrases", phrases(F.when(is_run, F.col("value"))))
+    return narrowed.withColumn("value", F.explode(F.when(is_run, F.col("_phrases")).otherwise(F.array("value")))).drop("_phrases")
 
 
 def scan_seed_phrases(records: DataFrame, wordlist: list[str]) -> DataFrame:

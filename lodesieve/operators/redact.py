@@ -63,15 +63,14 @@ def redact_text(df: DataFrame, cols: list[str], rules: tuple[Rule, ...] = HIGH_R
     return df
 
 
-# Display limits.
-NOTE_CHARS = 500
+# What a preview shows of a command or name; only what is shown is cut, never what is stored or matched.
 PREVIEW_CHARS = 160
 
 
-def sanitize_note(note: Column) -> Column:
-    """A free-text note that is safe to store: control characters out, any rule's match masked, bounded."""
+def sanitize_note(note: Column, limit: int | None = None) -> Column:
+    """A free-text note that is safe to store: control characters out, any rule's match masked, cut only if asked."""
     masked = bind(strip_control_chars(note), lambda t: redacted(t, DEFAULT_RULES + NOISY_RULES, spare_examples=False))
-    return truncate(masked, NOTE_CHARS)
+    return masked if limit is None else truncate(masked, limit)
 
 
 def safe_preview(text: Column, limit: int = PREVIEW_CHARS) -> Column:

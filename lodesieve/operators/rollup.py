@@ -21,9 +21,11 @@ GUIDANCE_SCHEMA = ("rule_id string, guidance_label string, rotate_url string, co
 
 
 def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row aggregate next to every row of a small result."""
-    keyed = one_row.withColumn("_one", F.lit(1))
-    return rows.withColumn("_one", F.lit(1)).join(keyed, "_one").drop("_one")
+    """Put the columns of a one-row aggregate next to every row of a small result.
+
+    This is a cross join with one row, the only one of its kind here.
+    """
+    return rows.crossJoin(one_row)
 
 
 def with_fingerprint(findings: DataFrame) -> DataFrame:
@@ -115,14 +117,21 @@ def suppress_known(findings: DataFrame, ledger: DataFrame) -> DataFrame:
     return findings.join(ledger.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
+def _verdict() -> Column:
+    """What a live check has said: one active sighting outweighs all others."""
+    said = F.col("verified")
+    return F.when(F.count_if(said == "active") > 0, "active").when(F.count_if(said == "invalid") > 0, "invalid").otherwise(F.max(said)).alias("verified")
+
+
 def rotation_rollup(findings: DataFrame, ledger: DataFrame, now_ms: int) -> DataFrame:
     """One row per fingerprint: what, how often, where, since when, settled or not.
 
     "First" means first by (source, file, line).  A fingerprint contains the base
     name of its file, so its set of names has one element; its sources are bounded
-    by the registry.
+    by the registry.  A column ``verified`` is kept, and an invalid value is dead.
     """
     seq = F.struct("source", "file", "line")
+    checked = "verified" in findings.columns
 
     def first_of(c: str) -> Column:
         return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(c)
@@ -134,8 +143,10 @@ def rotation_rollup(findings: DataFrame, ledger: DataFrame, now_ms: int) -> Data
         F.max("mtime_ms").alias("last_seen_ms"),
         first_of("paired_secret_preview"), first_of("paired_access_key_preview"), first_of("paired_other_preview"),
         F.min_by(F.col("paired_other_label"), F.when(F.col("paired_other_preview").isNotNull(), seq)).alias("paired_other_label"),
-        first_of("jwt_expires_at_ms"))
+        first_of("jwt_expires_at_ms"), *([_verdict()] if checked else []))
     dead = F.coalesce(F.col("jwt_expires_at_ms") < now_ms, F.lit(False))
+    if checked:
+        dead = dead | F.coalesce(F.col("verified") == "invalid", F.lit(False))
     return with_ledger(grouped, ledger).withColumn("confirmed_dead", dead)
 
 
@@ -153,8 +164,9 @@ def prioritise(rollup: DataFrame) -> DataFrame:
 
 
 def top_entries(ordered: DataFrame, n: int = 25) -> DataFrame:
-    """The first ``n`` (1 to 200) entries and how many were left out."""
-    n = max(1, min(200, n))
+    """The first ``n`` entries and how many were left out."""
+    if n < 1:
+        raise ValueError("at least one entry is shown")
     total = ordered.agg(F.count("*").alias("total"))
     return (beside(ordered.limit(n), total)
             .withColumn("truncated", F.col("total") > n)
@@ -169,8 +181,8 @@ def display_entries(rollup: DataFrame, shown: int = 12) -> DataFrame:
     """
     groups = rollup.groupBy("rule_id").agg(
         F.min("label").alias("group_label"), F.max(F.when(F.col("status") == "pending", 1).otherwise(0)).alias("open"))
-    # One row per rule of the catalogue, so this side is small by construction.
-    entries = prioritise(rollup).join(F.broadcast(groups), "rule_id")
+    # One row per rule; AQE broadcasts it by its measured size.
+    entries = prioritise(rollup).join(groups, "rule_id")
     status = F.when(F.col("status") == "pending", 0).when(F.col("status") == "acked", 1).otherwise(2)
     return (entries.orderBy(F.desc("open"), "group_label", "rule_id", status, "priority", "fingerprint")
             .limit(shown).drop("group_label", "open"))

@@ -37,6 +37,30 @@ def file_matches(finding_file: Column, truth_file: Column) -> Column:
         (truth_file == finding_file) | truth_file.endswith(F.concat(F.lit("/"), finding_file)))
 
 
+def _suffixes(file: Column) -> Column:
+    """A path and its ends: ``/a/b``, ``a/b``, ``b``; as many as the path is deep."""
+    parts = F.split(file, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def _resolved(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Findings with the file of the truth that theirs stands for, as in ``file_matches``; their own if there is none.
+
+    An absolute path matches itself, a relative one the end of a path, a bare name
+    the last part: all are keys of an equi-join.  Of several files the one that
+    holds the value is taken, then the one with the line, then the one with the
+    family, then the first.
+    """
+    files = truth.select("file").distinct().select(F.col("file").alias("_to"), F.explode(_suffixes(F.col("file"))).alias("_key"))
+    pairs = found.join(files, F.col("file") == F.col("_key")).drop("_key")
+    keys = {"value": F.col("value"), "line": F.col("line").cast("string"), "rule_family": F.col("rule_family")}
+    for i, (name, key) in enumerate(keys.items()):
+        held = truth.where(F.col(name).isNotNull()).select(F.col("file").alias("_to"), F.col(name).cast("string").alias(f"_k{i}")).distinct().withColumn(f"_h{i}", F.lit(0))
+        pairs = pairs.withColumn(f"_k{i}", key).join(held, ["_to", f"_k{i}"], "left")
+    best = pairs.groupBy("id").agg(F.min_by("_to", F.struct(*[F.coalesce(f"_h{i}", F.lit(1)) for i in range(len(keys))], "_to")).alias("_to"))
+    return found.join(best, "id", "left").withColumn("file", F.coalesce("_to", "file")).drop("_to")
+
+
 def _rank(df: DataFrame) -> DataFrame:
     """``k``, the position inside ``group`` along (file, line, id)."""
     lead = F.struct("file", F.floor(F.col("line") / LINES_PER_CHUNK))
@@ -67,13 +91,13 @@ def _assign(findings: DataFrame, pool: DataFrame, claimed: DataFrame | None, tie
 def attribute_findings(found: DataFrame, truth: DataFrame) -> DataFrame:
     """``(finding_id, truth_id, tier)`` for every finding that could be attributed.
 
-    Files are compared by base name.  The tier of a finding follows from which of
-    its keys occur in the truth.  Both inputs and the result of tier 1 are read
+    A finding's file is first resolved to a file of the truth (``_resolved``).  The
+    tier of a finding follows from which of its keys occur in the truth.  Both inputs and the result of tier 1 are read
     several times and are therefore checkpointed, with hashes in place of raw values.
     """
     hashed = F.sha2(F.col("value"), 256).alias("value")
-    f = checkpointed(found.select(F.col("finding_id").alias("id"), basename(F.col("file")).alias("file"), "line", hashed, "rule_family"))
-    t = checkpointed(truth.select(F.col("truth_id").alias("id"), basename(F.col("file")).alias("file"), "line", hashed, "rule_family", "kind"))
+    t = checkpointed(truth.select(F.col("truth_id").alias("id"), "file", "line", hashed, "rule_family", "kind"))
+    f = checkpointed(_resolved(found.select(F.col("finding_id").alias("id"), "file", "line", hashed, "rule_family"), t))
     kind_rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _KIND_RANK.items()], F.lit(3))
 
     pools = {name: t.select("id", "file", "line", key.alias("group"), kind_rank.alias("kind_rank"))

@@ -17,7 +17,6 @@ from lodesieve.catalog.sources import SOURCES
 
 LINE_END = r"\r\n|\n|\r"
 RECORD_COLUMNS = ("source", "file", "line", "text", "mtime_ms", "size_bytes")
-MAX_FILE_BYTES = 2 * 1024 ** 3
 
 
 def lines_of(text: Column) -> Column:
@@ -142,12 +141,13 @@ def salvage_json_objects(df: DataFrame, col: str = "text") -> DataFrame:
 
     Brackets inside strings must not count, which no built-in expresses, so this
     is a small vectorised function; a file costs one pass over its characters.
+    Texts without a closing brace hold no object and never reach it.
     """
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def objects(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _complete_objects(t) if t is not None else [])
 
-    return (df.withColumn("_objects", objects(F.col(col)))
+    return (df.where(F.contains(F.col(col), F.lit("}"))).withColumn("_objects", objects(F.col(col)))
             .select("source", "file", "mtime_ms", "size_bytes", F.posexplode("_objects").alias("i", "text"))
             .select("source", "file", (F.col("i") + 1).alias("line"), "text", "mtime_ms", "size_bytes"))
 
@@ -206,7 +206,6 @@ def list_files(spark: SparkSession, paths: str | list[str], source: str) -> Data
 
 # Which files of a repository checkout are worth a scan.
 SKIPPED_DIRS = ("node_modules", ".git")
-MAX_DEPTH = 12
 
 
 def select_project_artifacts(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -226,16 +225,17 @@ def select_project_artifacts(listing: DataFrame, path: str = "path") -> DataFram
         | ((parent == ".gemini") & (name == "settings.json"))
         | ((parent == ".vscode") & (name == "tasks.json")))
     is_env = (n == 1) & name.rlike(r"\A\.env(?:\..+)?\z")
-    skipped = F.exists(dirs, lambda s: s.isin(*SKIPPED_DIRS)) | (F.size(dirs) > MAX_DEPTH)
+    skipped = F.exists(dirs, lambda s: s.isin(*SKIPPED_DIRS))
     wanted = is_log | F.array_contains(dirs, ".specstory") | F.coalesce(is_config, F.lit(False)) | in_cursor_rules | is_env
     return listing.where(wanted & ~skipped)
 
 
 def coverage_report(listing: DataFrame, records: DataFrame, errors: DataFrame | None = None,
-                    max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """What happened to every listed file: complete, partial, failed or too large.
 
-    ``errors`` names files whose reading stopped early.  Lines are counted per
+    ``errors`` names files whose reading stopped early.  ``max_bytes`` is the size
+    above which the caller left files out; one that was read all the same counts as read.  Lines are counted per
     file with a map-side partial aggregate, so a huge file costs one row per task.
     """
     read = records.groupBy("source", "file").agg(
@@ -247,10 +247,11 @@ def coverage_report(listing: DataFrame, records: DataFrame, errors: DataFrame |
         df = df.join(errors.select("source", "file").distinct().withColumn("_failed", F.lit(True)), ["source", "file"], "left")
         failed = F.col("_failed").isNotNull()
     lines = F.coalesce("lines", F.lit(0))
-    status = (F.when(F.col("broken"), "failed").when(F.col("size_bytes") > max_bytes, "too-large")
+    left_out = F.lit(False) if max_bytes is None else (F.col("size_bytes") > max_bytes) & (lines == 0)
+    status = (F.when(F.col("broken"), "failed").when(left_out, "too-large")
               .when(failed & (lines > 0), "partial").when(failed, "failed").otherwise("complete"))
     # The reasons are part of the result.
-    reason = (F.when(F.col("broken"), "could not be resolved").when(F.col("size_bytes") > max_bytes, "too large to scan")
+    reason = (F.when(F.col("broken"), "could not be resolved").when(left_out, "too large to scan")
               .when(failed & (lines > 0), "only partially read").when(failed, "could not be read"))
     return df.select("source", "file", status.alias("status"), reason.alias("reason"),
                      lines.cast("bigint").alias("lines"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))

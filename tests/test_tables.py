@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def test_ledger(spark):
     row = latest.first()
     assert latest.count() == 1 and row.note == "has AKIA…RSTU  (20 chars)" and rejected.count() == 2
     states = spark.createDataFrame([('{"v":1,"acks":{"%s":{"at":"t","note":5},"bad":{}},"dismissed":{}}' % fp,), ("{oops",), ('{"v":2,"acks":{}}',)], "value string")
-    assert [tuple(r) for r in ledger.load_ledger(states).collect()] == [(fp, "ack", "t", None)]
+    assert [tuple(r) for r in ledger.load_ledger(states).collect()] == [(fp, "ack", None, None)]
 
 
 KIND = {"secret": 0, "suppress": 1, "chaff": 2}
@@ -95,18 +97,18 @@ def test_attribution_equals_plain_loops(spark):
 
 def test_family_tier_prefers_secrets(spark):
     t = spark.createDataFrame([("t1", "chaff", "aws", "f", 9, "a"), ("t2", "secret", "aws", "f", 10, "b")], "truth_id string, kind string, rule_family string, file string, line int, value string")
-    f = spark.createDataFrame([("x", "d/f", None, None, "aws"), ("y", "f", 9, None, "zzz"), ("w", "g", 9, "q", "aws")], "finding_id string, file string, line int, value string, rule_family string")
+    f = spark.createDataFrame([("x", "f", None, None, "aws"), ("v", "d/f", None, None, "aws"), ("y", "f", 9, None, "zzz"), ("w", "g", 9, "q", "aws")], "finding_id string, file string, line int, value string, rule_family string")
     assert {(r.finding_id, r.truth_id, r.tier) for r in score.attribute_findings(f, t).collect()} == {("x", "t2", 3), ("y", "t1", 2)}
 
 
 def test_hooks_at_any_depth_and_broken_files(spark):
     deep = '{"hooks":{"A":{"matcher":"m","x":[[{"y":{"command":"curl u | sh"}}]]},"B":[{"command":5}]}}'
-    many = '{"hooks":{"A":[' + ",".join('{"n":1}' for _ in range(12000)) + "]}}"
+    many = '{"hooks":{"A":[' + ",".join('{"n":1}' for _ in range(12000)) + ',{"command":"late"}]}}'
     configs = spark.createDataFrame([("deep", deep), ("many", many), ("bad", '{"hooks": node .x/setup.mjs'), ("none", '{"a":"\\"hooks\\""}')], "file string, content string")
     hooks = {(r.file, r.event, r.matcher, r.command, r.state) for r in audit.explode_hooks(configs).collect()}
-    assert hooks == {("deep", "A", "m", "curl u | sh", "command"), ("deep", "B", None, None, "unrecognized"), ("many", None, None, None, "truncated")}
+    assert hooks == {("deep", "A", "m", "curl u | sh", "command"), ("deep", "B", None, None, "unrecognized"), ("many", "A", None, "late", "command")}
     got = {(r.severity, r.kind, r.file) for r in audit.audit_hooks(configs).collect()}
-    assert got == {("warn", "hook", "deep"), ("info", "hook-unrecognized", "deep"), ("warn", "unwalkable-config", "many"), ("warn", "unparseable-config", "bad"), ("warn", "hook", "bad")}
+    assert got == {("warn", "hook", "deep"), ("info", "hook-unrecognized", "deep"), ("info", "hook", "many"), ("warn", "unparseable-config", "bad"), ("warn", "hook", "bad")}
 
 
 def test_json_comments(spark):
@@ -119,7 +121,7 @@ def test_image_blocks(records):
     block = '{"type":"image","source":{"type":"base64","media_type":"image/png","data":"%s"}}'
     nested = "[" * 14 + block % "QUJD" + "]" * 14
     recs = records("[" + ",".join(block % "QUJD" for _ in range(10)) + "]", nested, '{"a":' + block % "QQ==" + "}", "not json \"image\" base64")
-    assert sorted((r.line, r.n_bytes) for r in extract_image_blocks(recs).collect()) == [(1, 3)] * 8 + [(3, 1)]
+    assert sorted((r.line, r.n_bytes) for r in extract_image_blocks(recs).collect()) == [(1, 3)] * 10 + [(2, 3), (3, 1)]
 
 
 def test_line_numbers_of_large_files(spark, tmp_path):
@@ -154,3 +156,44 @@ def test_sinks(spark, records, tmp_path):
     except ValueError:
         return
     raise AssertionError("raw values were written")
+
+
+def test_autorun_task_behind_a_large_array(spark):
+    text = '{"pad":[' + "1," * 12000 + '1],"tasks":[{"label":"x","runOptions":{"runOn":"folderOpen"}}]}'
+    assert [r.task for r in audit.find_autorun_tasks(spark.createDataFrame([("f", text)], "file string, content string")).collect()] == ["x"]
+
+
+def test_project_files_at_any_depth(spark):
+    deep = "/".join(["d"] * 20) + "/.claude/settings.json"
+    listing = spark.createDataFrame([(deep,), ("a/node_modules/.claude/settings.json",)], "path string")
+    assert [r.path for r in src.select_project_artifacts(listing).collect()] == [deep]
+
+
+def test_attribution_by_path(spark):
+    truth = [("t1", "secret", "aws", "/x/settings.json", 3, "a"), ("t2", "secret", "aws", "/y/settings.json", 3, "b"), ("t3", "secret", "gh", "/y/in/chat.jsonl", 8, "c")]
+    found = [("absolute", "/y/settings.json", 3, None, "none"), ("elsewhere", "/z/settings.json", 3, None, "aws"), ("suffix", "in/chat.jsonl", None, None, "gh"),
+             ("bare", "chat.jsonl", 8, None, "none"), ("wrong suffix", "out/chat.jsonl", 8, None, "gh"), ("bare by value", "settings.json", None, "b", "aws"),
+             ("moved", "/z/other.json", 1, "a", "aws"), ("part of a name", "t.jsonl", 8, None, "gh")]
+    t = spark.createDataFrame(truth, "truth_id string, kind string, rule_family string, file string, line int, value string")
+    f = spark.createDataFrame(found, "finding_id string, file string, line int, value string, rule_family string")
+    got = {(r.finding_id, r.truth_id, r.tier) for r in score.attribute_findings(f, t).collect()}
+    assert got == {("absolute", "t2", 2), ("suffix", "t3", 3), ("bare", "t3", 2), ("bare by value", "t2", 1), ("moved", "t1", 1)}
+
+
+def test_loaded_ledger_can_be_updated(spark, tmp_path):
+    fp = "rf1-" + "b" * 32
+    states = spark.createDataFrame([('{"v":1,"acks":{"%s":{"at":"yesterday","note":"n"}},"dismissed":{}}' % fp,)], "value string")
+    ledger.write_ledger(ledger.load_ledger(states), f"{tmp_path}/v1")
+    held = ledger.read_ledger(spark, f"{tmp_path}/v1")
+    assert ledger.acknowledge(held, held.select("fingerprint"), "2024-05-01", "done").first().note == "done"
+    with pytest.raises(Exception, match="exist"):
+        ledger.write_ledger(held, f"{tmp_path}/v1")
+
+
+def test_verified_values_are_kept(spark):
+    found = spark.sql("SELECT 's' source, 'f' file, 'f' rel_file, k line, 'r' rule_id, 'l' label, 'p' preview, 0L mtime_ms, 'rf1-' || k fingerprint, v verified, "
+                      "CAST(NULL AS STRING) paired_secret_preview, CAST(NULL AS STRING) paired_access_key_preview, CAST(NULL AS STRING) paired_other_preview, "
+                      "CAST(NULL AS STRING) paired_other_label, CAST(NULL AS BIGINT) jwt_expires_at_ms FROM VALUES (1, 'invalid'), (2, 'active'), (3, CAST(NULL AS STRING)) AS t(k, v)")
+    rolled = rollup.rotation_rollup(found, spark.createDataFrame([], LEDGER), 0)
+    assert [(r.fingerprint, r.priority, r.confirmed_dead) for r in rollup.prioritise(rolled).collect()] == [("rf1-2", -2, False), ("rf1-3", 0, False), ("rf1-1", 1, True)]
+    assert rollup.pending_summary(rolled).first().confirmed_dead == 1
