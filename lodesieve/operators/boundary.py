@@ -102,7 +102,7 @@ def seam_hits(tail: Column, head: Column, rules: tuple[Rule, ...] = DEFAULT_RULE
         return F.coalesce(ends_at_seam, F.lit(False)) | F.coalesce(starts_at_seam, F.lit(False))
 
     def crossing(joined: Column) -> Column:
-        located = located_matches(joined, table, lambda r, v, b: F.struct(
+        located = located_matches(joined, rules, table, lambda r, v, b: F.struct(
             r["rule_id"].alias("rule_id"), r["label"].alias("label"), r["confidence"].alias("confidence"),
             v.alias("value"), F.length(b).alias("start"), r["regex"].alias("regex"), r["gap_regex"].alias("gap_regex")))
         over = F.filter(located, lambda m: (seam - m["start"] >= MIN_SHARE)

@@ -7,8 +7,9 @@ A scan has two steps, both narrow (no shuffle):
 2. ``rule_hits`` matches the rest against those rules whose needles occur and
    returns one array of hits per record, which one ``explode`` turns into rows.
 
-The rules enter the plan as one constant array, so the plan stays small however
-many there are.  Hits carry the 40 characters before the match, so no later step
+Each rule's pattern is a constant of the plan, so it is compiled once per task;
+all else about the rules is one constant array.  Patterns that are taken from
+that array, for the text around matches, only see records with a match.  Hits carry the 40 characters before the match, so no later step
 needs the text.
 """
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +61,9 @@ def rule_table(rules: tuple[Rule, ...], width: int = CONTEXT_CHARS, windows: dic
     rows = []
     for rule in rules:
         window = (windows or {}).get(rule.id, 0)
-        needles = rule.needles if rule.needles is not None else ((rule.anchor,) if is_literal(rule.anchor) else ())
         rows.append({
             "rule_id": rule.id, "label": rule.label, "confidence": rule.confidence, "ignore_case": rule.ignore_case,
-            "needles": needles, "regex": rule_regex(rule), "gap_regex": gap_regex(rule),
+            "needles": needles_of(rule), "regex": rule_regex(rule), "gap_regex": gap_regex(rule),
             "after_regex": suffix_regex(rule, window) if window else None, "width": max(window, width)})
     return F.from_json(F.lit(json.dumps(rows)), _TABLE_TYPE)
 
@@ -72,11 +74,24 @@ def candidate_rules(text: Column, table: Column) -> Column:
         r["needles"], lambda n: F.contains(F.when(r["ignore_case"], low).otherwise(text), n))))
 
 
-def matched_rules(text: Column, table: Column) -> Column:
-    """Array of ``(rule, values)`` for the rules that match ``text``."""
-    tried = F.transform(candidate_rules(text, table), lambda r: F.struct(
-        r.alias("rule"), F.regexp_extract_all(text, r["regex"], F.lit(0)).alias("values")))
-    return F.filter(tried, lambda m: F.size(m["values"]) > 0)
+def needles_of(rule: Rule) -> tuple[str, ...]:
+    """Substrings of which every match has one; none if the rule is always tried."""
+    if rule.needles is not None:
+        return rule.needles
+    return (rule.anchor,) if is_literal(rule.anchor) else ()
+
+
+def matched_rules(text: Column, rules: tuple[Rule, ...], table: Column) -> Column:
+    """Array of ``(rule, values)`` for the rules that match ``text``; ``table`` is their ``rule_table``."""
+    def values(rule: Rule, low: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rule_regex(rule)), F.lit(0))
+        subject = low if rule.ignore_case else text
+        tests = [F.contains(subject, F.lit(n)) for n in needles_of(rule)]
+        return F.when(reduce(or_, tests), found) if tests else found
+
+    tried = bind(F.lower(text), lambda low: F.array(*[values(rule, low) for rule in rules]))
+    both = F.zip_with(table, tried, lambda r, v: F.when(F.size(v) > 0, F.struct(r.alias("rule"), v.alias("values"))))
+    return F.filter(both, lambda m: m.isNotNull())
 
 
 def text_before(values: Column, gaps: Column, i: Column, width: Column) -> Column:
@@ -90,13 +105,13 @@ def text_before(values: Column, gaps: Column, i: Column, width: Column) -> Colum
     return F.right(F.concat(F.array_join(earlier, ""), F.get(gaps, i)), width)
 
 
-def located_matches(text: Column, table: Column, build: Callable[[Column, Column, Column], Column]) -> Column:
+def located_matches(text: Column, rules: tuple[Rule, ...], table: Column, build: Callable[[Column, Column, Column], Column]) -> Column:
     """Array of ``build(rule, value, before)`` over all matches."""
     def per_rule(m: Column) -> Column:
         return bind(F.regexp_extract_all(text, m["rule"]["gap_regex"], F.lit(1)), lambda gaps: F.transform(
             m["values"], lambda v, i: build(m["rule"], v, text_before(m["values"], gaps, i, m["rule"]["width"]))))
 
-    return F.flatten(F.transform(matched_rules(text, table), per_rule))
+    return F.flatten(F.transform(matched_rules(text, rules, table), per_rule))
 
 
 def hit(rule_id: Column, label: Column, confidence: Column, value: Column, pass_name: str, before: Column | None = None,
@@ -129,7 +144,7 @@ def rule_hits(text: Column, rules: tuple[Rule, ...], windows: dict[str, int] | N
 
         return bind(context, lambda c: F.transform(m["values"], lambda v, i: one(c, v, i)))
 
-    return F.flatten(F.transform(matched_rules(text, table), details))
+    return F.flatten(F.transform(matched_rules(text, rules, table), details))
 
 
 def explode_hits(records: DataFrame, hits: Column) -> DataFrame:

@@ -49,7 +49,7 @@ def first_hit(text: Column, rules: tuple[Rule, ...] = HIGH_RULES, first_match_on
         seen = F.slice(values, 1, 1) if first_match_only else values
         return F.filter(seen, lambda m: ~is_vendor_example(m) & ~has_constant_tail(m))
 
-    hits = F.transform(matched_rules(text, rule_table(rules)), lambda m: F.struct(
+    hits = F.transform(matched_rules(text, rules, rule_table(rules)), lambda m: F.struct(
         m["rule"]["label"].alias("label"), F.get(live(m["values"]), 0).alias("value")))
     first = bind(F.get(F.filter(hits, lambda h: h["value"].isNotNull()), 0), lambda h: F.when(
         h.isNotNull(), F.struct(h["label"].alias("label"), redact(h["value"]).alias("preview"))))

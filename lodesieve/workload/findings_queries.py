@@ -109,7 +109,7 @@ _LISTING = f"""listing AS (SELECT doc_id, ([{', '.join(O.quote(p) for p in _PATH
     seg AS (SELECT *, s[-1] AS name, CASE WHEN len(s) > 1 THEN s[-2] END AS parent, s[1:len(s) - 1] AS dirs FROM parts)"""
 
 
-@query(f"""WITH {_LISTING} SELECT doc_id, path FROM seg WHERE NOT list_has_any(dirs, ['node_modules', '.git']) AND len(dirs) <= 12 AND (
+@query(f"""WITH {_LISTING} SELECT doc_id, path FROM seg WHERE NOT list_has_any(dirs, ['node_modules', '.git']) AND (
     (name LIKE '%.jsonl' AND (list_contains(dirs, '.claude') OR parent LIKE '-%' OR name LIKE 'rollout-%'))
     OR list_contains(dirs, '.specstory') OR (parent = '.claude' AND regexp_full_match(name, 'settings.*\\.json'))
     OR name IN ('.mcp.json', '.cursorrules', 'CLAUDE.md', 'CLAUDE.local.md', 'AGENTS.md')
