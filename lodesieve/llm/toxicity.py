@@ -1,10 +1,10 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posterior labels.
 
 Voters are words and beginnings of words that mark toxic texts in a bounded sample (``SAMPLE``) of labelled rows, and patterns of the
-text's form. A voter fires or not. The label model is a mixture of two classes over all documents: each voter has a rate of
+text's form, among them silence of the lexicon. A voter fires or abstains, and only firing tells something. The label model is a mixture of two classes over all documents: each voter has a rate of
 firing in either class, learnt by expectation maximisation over the patterns of votes (labels that may be seen are fixed).
 Voters that fire together more often than their rates explain are correlated; their votes are discounted by the sum of
-their correlations. The posterior labels of a bounded sample of documents, labelled or not, train a logistic regression on the
+their squared correlations. The posterior labels of a bounded sample of documents, labelled or not, train a logistic regression on the
 votes and their density.
 
 A null text counts as empty: no lexicon voter fires, and it is scored like any other. Repeated rows get equal scores. Without
@@ -29,12 +29,14 @@ from lodesieve.llm.fitting import held_out, summed, training_labels
 MODULUS, REMAINDER, THRESHOLD = 3, 1, 0.7
 SAMPLE = 20_000        # labelled rows that the lexicon and the classifier are fitted on, at most
 LEXICON = 300          # words and beginnings, at most
-LEAST_DOCS = 3         # toxic texts that a word must occur in
+LEAST_DOCS = 2         # toxic texts that a term must mark, at least
+LEAST_SHARE = 0.012    # of all toxic texts of the sample, likewise
+DEPTH = 2              # terms that should mark a toxic text
 LEAST_ODDS = 2.2       # natural logarithm, between toxic and other texts
 HEADS = (4, 5, 6)      # lengths of beginnings; the first one also gates all lookups
 ROUNDS = 8             # of expectation maximisation
 TRUST = 0.97           # of a label, as a voter
-PATTERNS = ("shouting", "bangs", "shouted_words")
+PATTERNS = ("shouting", "bangs", "shouted_words", "quiet")
 
 _TO_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
 
@@ -65,16 +67,40 @@ def mined_lexicon(sample: DataFrame) -> list[str]:
     toxic, docs = totals["toxic"] or 0.0, totals["docs"]
     if not 0 < toxic < docs:
         return []
+    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))
     counts = sample.mapInPandas(count, "term string, toxic double, docs double").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (docs - toxic + 1))
-    best = counts.withColumn("odds", odds).where((F.col("t") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-    rows = best.orderBy((F.col("t") * F.col("odds")).desc(), "term").limit(4 * LEXICON).collect()
-    chosen: list[str] = []
-    for row in rows:
-        term = row["term"]
-        if not any(term.startswith(c) or c == term[:-1] for c in chosen if not c.endswith(" ")) and len(chosen) < LEXICON:
-            chosen.append(term)
-    return sorted(chosen)
+    best = counts.withColumn("odds", odds).where((F.col("t") >= least) & (F.col("odds") >= LEAST_ODDS))
+    offered = {row["term"]: row["odds"] for row in best.orderBy((F.col("t") * F.col("odds")).desc(), "term").limit(4 * LEXICON).collect()}
+    voters = Voters(list(offered))
+    marked = with_votes(sample.where("y > 0.5").select(F.lit(0).alias("doc_id"), "text"), voters).select("fired").toPandas()  # SAMPLE rows at most
+    return sorted(_covering([[i for i in own if i < len(offered)] for own in marked["fired"]], voters.lexicon, list(offered.values()), least))
+
+
+def _same(a: str, b: str) -> bool:
+    return a.startswith(b.rstrip(" ")) or b.startswith(a.rstrip(" "))
+
+
+def _covering(fired: list[list[int]], terms: list[str], odds: list[float], least: int) -> list[str]:
+    """Terms that mark texts which fewer than ``DEPTH`` chosen terms mark, one by one, best first.
+
+    Words that merely stand in copies of one toxic text add nothing and stay out.
+    """
+    texts: dict[int, list[int]] = {}
+    for text, own in enumerate(fired):
+        for i in own:
+            texts.setdefault(i, []).append(text)
+    depth, chosen = [0] * len(fired), []
+    while texts and len(chosen) < LEXICON:
+        gains = {i: sum(depth[t] < DEPTH for t in own) for i, own in texts.items()}
+        texts = {i: own for i, own in texts.items() if gains[i] >= least and not any(_same(terms[i], c) for c in chosen)}
+        if not texts:
+            break
+        pick = max(texts, key=lambda i: (gains[i] * odds[i], terms[i]))
+        chosen.append(terms[pick])
+        for text in texts.pop(pick):
+            depth[text] += 1
+    return chosen
 
 
 class Voters:
@@ -96,8 +122,8 @@ class Voters:
                 hits += words[word]
         raw = text or ""
         upper = sum(map(raw.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        shouted = (upper > 0.5 * max(1, len(raw)), raw.count("!") > 0.2 * max(1, n), n > 0 and upper > 4 * n)
-        return sorted(fired) + [len(self.lexicon) + i for i, x in enumerate(shouted) if x], hits, n
+        shown = (upper > 0.5 * max(1, len(raw)), raw.count("!") > 0.2 * max(1, n), n > 0 and upper > 4 * n, hits == 0)
+        return sorted(fired) + [len(self.lexicon) + i for i, x in enumerate(shown) if x], hits, n
 
 
 def with_votes(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -132,9 +158,8 @@ class LabelModel:
         self.discount = np.ones(n)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        off = np.log1p(-self.rates[1]) - np.log1p(-self.rates[0])
         on = np.log(self.rates[1]) - np.log(self.rates[0])
-        logit = math.log(self.prior / (1 - self.prior)) + (votes * (on - off) + off) @ self.discount
+        logit = math.log(self.prior / (1 - self.prior)) + votes @ (on * self.discount)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
     def soft(self, pdf: pd.DataFrame, votes: np.ndarray) -> np.ndarray:
@@ -177,8 +202,8 @@ class LabelModel:
         spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate)))
         correlation = np.clip((joint - np.outer(rate, rate)) / np.maximum(spread, 1e-9), 0, 1)
         np.fill_diagonal(correlation, 0)
-        correlation[correlation < 0.1] = 0
-        self.discount = 1 / (1 + correlation.sum(axis=1))
+        correlation[correlation < 0.35] = 0
+        self.discount = 1 / (1 + (correlation**2).sum(axis=1))
         return self
 
 
