@@ -14,7 +14,7 @@ from lodesieve.catalog.advisories import ADVISORIES, ADVISORY_SCHEMA
 from lodesieve.catalog.rules import HIGH_RULES
 from lodesieve.functions.json_nodes import nodes, parse
 from lodesieve.functions.regex import to_java
-from lodesieve.functions.text import INVISIBLE_CHARS, basename, version_triple
+from lodesieve.functions.text import INVISIBLE_CHARS, basename, bind, version_triple
 from lodesieve.operators.injection import code_point_name, suspicious_invisibles
 from lodesieve.operators.redact import first_hit, redacted, safe_preview
 
@@ -82,6 +82,9 @@ def _hooks_of(text: str | None) -> list[dict]:
     return found
 
 
+_HOOKS = "array<struct<event:string,matcher:string,command:string,state:string>>"
+
+
 def explode_hooks(configs: DataFrame) -> DataFrame:
     """Every ``command`` below ``hooks``, at any depth, with its event and inherited matcher.
 
@@ -89,7 +92,7 @@ def explode_hooks(configs: DataFrame) -> DataFrame:
     bounded, so the walk is a small vectorised function, linear in the file; only
     files that mention hooks reach it.
     """
-    @F.pandas_udf("array<struct<event:string,matcher:string,command:string,state:string>>")
+    @F.pandas_udf(_HOOKS)
     def hooks(contents: pd.Series) -> pd.Series:
         return contents.map(_hooks_of)
 
@@ -130,23 +133,38 @@ def classify_hook_command(hooks: DataFrame, home: str | None = None) -> DataFram
             .withColumn("severity", F.coalesce("_v.severity", F.lit("info"))).drop("_v"))
 
 
+def _integrity(severity: Column | str, kind: Column | str, detail: Column | str) -> Column:
+    """One integrity finding; a file's findings form one array, so its table is read once."""
+    values = [F.lit(x) if isinstance(x, str) else x for x in (severity, kind, detail)]
+    return F.struct(*(v.alias(n) for v, n in zip(values, ("severity", "kind", "detail"), strict=True)))
+
+
+def _listed(rows: DataFrame, *found: Column) -> DataFrame:
+    """Integrity findings of ``rows``: each argument is a struct, NULL where there is none."""
+    some = F.filter(F.array(*found), lambda f: f.isNotNull())
+    return rows.select("file", F.explode(some).alias("f")).select("f.severity", "f.kind", "file", "f.detail")
+
+
 def audit_hooks(configs: DataFrame, home: str | None = None) -> DataFrame:
-    """Integrity findings of hook configurations."""
+    """Integrity findings of hook configurations, from one read of their table."""
+    hooks = F.pandas_udf(lambda contents: contents.map(_hooks_of), _HOOKS)
     valid = F.try_parse_json(F.col("content")).isNotNull()
-    broken = configs.where(~valid)
-    raw = broken.withColumn("_v", hook_verdict(F.col("content"), home)).where(F.col("_v").isNotNull())
-    hooks = classify_hook_command(explode_hooks(configs.where(valid)), home)
+    seen = configs.select("file", "content", valid.alias("_valid")).where(~F.col("_valid") | F.contains("content", F.lit('"hooks"')))
+    none = F.lit(None).cast("string")
+    whole = F.array(F.struct(none.alias("event"), none.alias("matcher"), F.col("content").alias("command"), F.lit("broken").alias("state")))
+    walked = hooks(F.when(F.col("_valid"), F.col("content")))
+    rows = seen.withColumn("_walked", walked).select("file", F.explode(F.when(F.col("_valid"), F.col("_walked")).otherwise(whole)).alias("h")).select("file", "h.*")
+    rows = rows.withColumn("_v", hook_verdict(F.col("command"), home))
     where = F.concat(safe_preview(F.coalesce("event", F.lit("unknown event")), 40),
                      F.coalesce(F.concat(F.lit(" ("), safe_preview(F.col("matcher"), 40), F.lit(")")), F.lit("")))
-    detail = F.when(F.col("state") == "command", F.concat(where, F.lit(": "), F.coalesce("signature", F.lit("runs automatically")),
-                                                         F.lit(": "), safe_preview(F.col("command")))).otherwise(where)
-    kind = F.when(F.col("state") == "command", "hook").otherwise("hook-unrecognized")
-    severity = F.when(F.col("state") == "command", F.col("severity")).otherwise("info")
-    return (hooks.select(severity.alias("severity"), kind.alias("kind"), "file", detail.alias("detail"))
-            .unionByName(broken.select(F.lit("warn").alias("severity"), F.lit("unparseable-config").alias("kind"), "file",
-                                       F.lit("not valid JSON; the text was checked for signatures instead").alias("detail")))
-            .unionByName(raw.select(F.col("_v.severity").alias("severity"), F.lit("hook").alias("kind"), "file",
-                                    F.concat(F.lit("signature in raw text: "), "_v.signature").alias("detail"))))
+    said = F.concat(where, F.lit(": "), F.coalesce("_v.signature", F.lit("runs automatically")), F.lit(": "), safe_preview(F.col("command")))
+    state = F.col("state")
+    return _listed(
+        rows,
+        F.when(state == "command", _integrity(F.coalesce("_v.severity", F.lit("info")), "hook", said)),
+        F.when(state == "unrecognized", _integrity("info", "hook-unrecognized", where)),
+        F.when(state == "broken", _integrity("warn", "unparseable-config", "not valid JSON; the text was checked for signatures instead")),
+        F.when((state == "broken") & F.col("_v").isNotNull(), _integrity(F.col("_v.severity"), "hook", F.concat(F.lit("signature in raw text: "), F.col("_v.signature")))))
 
 
 # Comments and strings in one alternation, so that a comment mark inside a string stays.
@@ -182,9 +200,13 @@ def find_autorun_tasks(configs: DataFrame) -> DataFrame:
     return found.unionByName(raw.select("file", F.lit("(unparsed file)").alias("task"), F.lit(False).alias("parsed")))
 
 
-def explode_servers(configs: DataFrame) -> DataFrame:
-    """Server definitions of tool-server configurations: ``file, server, command, args, url``."""
-    servers = F.try_variant_get(F.try_parse_json(F.col("content")), "$.mcpServers", "map<string,variant>")
+def explode_servers(configs: DataFrame, keep_broken: bool = False) -> DataFrame:
+    """Server definitions of tool-server configurations: ``file, server, command, args, url``.
+
+    With ``keep_broken`` a file that is not JSON is one row whose ``broken`` is true.
+    """
+    parsed = F.try_parse_json(F.col("content"))
+    servers = F.try_variant_get(parsed, "$.mcpServers", "map<string,variant>")
     definition = F.col("definition")
 
     def text(path: str) -> Column:
@@ -194,23 +216,29 @@ def explode_servers(configs: DataFrame) -> DataFrame:
     raw_args = F.coalesce(F.try_variant_get(definition, "$.args", "array<variant>"), F.array().cast("array<variant>"))
     args = F.transform(F.filter(raw_args, lambda a: F.schema_of_variant(a) == "STRING"),
                        lambda a: F.try_variant_get(a, "$", "string"))
-    return (configs.where(F.contains("content", F.lit("mcpServers")))
-            .select("file", F.explode(servers).alias("server", "definition"))
-            .where(F.schema_of_variant("definition").startswith("OBJECT"))
-            .select("file", "server", text("$.command").alias("command"), args.alias("args"), text("$.url").alias("url")))
+    broken = parsed.isNull() if keep_broken else F.lit(False)
+    rows = (configs.where(F.contains("content", F.lit("mcpServers")) | broken)
+            .select("file", broken.alias("broken"), F.explode_outer(servers).alias("server", "definition"))
+            .where(F.col("broken") | F.schema_of_variant("definition").startswith("OBJECT"))
+            .select("file", "server", text("$.command").alias("command"), args.alias("args"), text("$.url").alias("url"), "broken"))
+    return rows if keep_broken else rows.drop("broken")
 
 
-def pinned_packages(servers: DataFrame) -> DataFrame:
-    """Packages with a version among the arguments: ``file, server, ecosystem, package, version``."""
-    arg = F.col("arg")
+def _pinned(arg: Column) -> tuple[Column, Column, Column]:
+    """Ecosystem, package and version of an argument that pins a package, else NULL."""
     npm, pip = to_java(P.NPM_PIN), to_java(P.PIP_PIN)
-    ecosystem = F.when(arg.rlike(npm), "npm").when(arg.rlike(pip), "pip")
 
     def group(n: int) -> Column:
-        return F.when(arg.rlike(npm), F.regexp_extract(arg, npm, n)).otherwise(F.regexp_extract(arg, pip, n))
+        return F.when(arg.rlike(npm), F.regexp_extract(arg, npm, n)).when(arg.rlike(pip), F.regexp_extract(arg, pip, n))
 
+    return F.when(arg.rlike(npm), "npm").when(arg.rlike(pip), "pip"), group(1), group(2)
+
+
+def pinned_packages(servers: DataFrame) -> DataFrame:
+    """Packages with a version among the arguments: ``file, server, ecosystem, package, version``."""
+    ecosystem, package, version = _pinned(F.col("arg"))
     return (servers.select("file", "server", F.explode("args").alias("arg"))
-            .select("file", "server", ecosystem.alias("ecosystem"), group(1).alias("package"), group(2).alias("version"))
+            .select("file", "server", ecosystem.alias("ecosystem"), package.alias("package"), version.alias("version"))
             .where(F.col("ecosystem").isNotNull()))
 
 
@@ -224,6 +252,12 @@ def advisory_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(ADVISORIES, ADVISORY_SCHEMA))
 
 
+def in_range(v: Column, r: Column) -> Column:
+    """Is a version triple inside a range?  An open end does not bound it."""
+    low, high, below = version_triple(r["lowest"]), version_triple(r["highest"]), version_triple(r["below"])
+    return F.coalesce(v >= low, F.lit(True)) & F.coalesce(v <= high, F.lit(True)) & F.coalesce(v < below, F.lit(True))
+
+
 def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """Packages in a vulnerable range.
 
@@ -232,13 +266,8 @@ def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     ``with_version``.
     """
     v = F.col("version_triple")
-
-    def inside(r: Column) -> Column:
-        low, high, below = version_triple(r["lowest"]), version_triple(r["highest"]), version_triple(r["below"])
-        return (F.coalesce(v >= low, F.lit(True)) & F.coalesce(v <= high, F.lit(True)) & F.coalesce(v < below, F.lit(True)))
-
     joined = with_version(packages).where(v.isNotNull()).join(advisories, ["ecosystem", "package"])
-    return joined.where(F.exists("ranges", inside)).drop("ranges", "version_triple")
+    return joined.where(F.exists("ranges", lambda r: in_range(v, r))).drop("ranges", "version_triple")
 
 
 def is_insecure_url(url: Column) -> Column:
@@ -248,30 +277,34 @@ def is_insecure_url(url: Column) -> Column:
 
 
 def audit_mcp_servers(configs: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Integrity findings of tool-server configurations.
+    """Integrity findings of tool-server configurations, from one read of their table.
 
     Known-vulnerable pinned versions, plain-HTTP endpoints and downloads piped to
-    a shell are warnings; so is a file that is not JSON.
+    a shell are warnings; so is a file that is not JSON.  Advisories are grouped by
+    package first, so the join never multiplies arguments.
     """
-    servers = explode_servers(configs)
-    name = safe_preview(F.col("server"), 60)
+    known = advisories.groupBy("ecosystem", "package").agg(F.collect_list(F.struct("advisory_id", "ranges")).alias("advisories"))
+    servers = explode_servers(configs, keep_broken=True)
     line = F.array_join(F.concat(F.filter(F.array("command"), lambda c: c.isNotNull()), F.col("args")), " ")
-
-    def finding(kind: str, df: DataFrame, detail: Column) -> DataFrame:
-        return df.select(F.lit("warn").alias("severity"), F.lit(kind).alias("kind"), "file", detail.alias("detail"))
-
-    vulnerable = match_advisories(pinned_packages(servers), advisories)
-    insecure = servers.where(is_insecure_url(F.col("url")))
-    piped = servers.where(line.rlike(to_java(P.SERVER_DOWNLOAD_TO_SHELL, ignore_case=True, exact_edges=True)))
-    broken = configs.where(F.try_parse_json(F.col("content")).isNull())
-    return (finding("mcp-known-cve", vulnerable, F.concat(name, F.lit(": "), "package", F.lit("@"), "version", F.lit(" "), "advisory_id"))
-            .unionByName(finding("mcp-insecure-transport", insecure, F.concat(name, F.lit(": "), safe_preview(F.col("url"), 80))))
-            .unionByName(finding("mcp-curl-pipe-shell", piped, F.concat(name, F.lit(": "), safe_preview(line))))
-            .unionByName(finding("unparseable-config", broken, F.lit("not valid JSON"))))
+    args = servers.select("file", "server", "url", "broken", line.alias("line"), F.posexplode_outer("args").alias("at", "arg"))
+    ecosystem, package, version = _pinned(F.col("arg"))
+    joined = args.withColumns({"ecosystem": ecosystem, "package": package, "version": version}).join(known, ["ecosystem", "package"], "left")
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    name, triple = safe_preview(F.col("server"), 60), version_triple(F.col("version"))
+    hits = F.filter("advisories", lambda a: triple.isNotNull() & F.exists(a["ranges"], lambda r: in_range(triple, r)))
+    cves = F.transform(F.coalesce(hits, F.array().cast(joined.schema["advisories"].dataType)), lambda a: _integrity(
+        "warn", "mcp-known-cve", F.concat(name, F.lit(": "), F.col("package"), F.lit("@"), F.col("version"), F.lit(" "), a["advisory_id"])))
+    piped = F.col("line").rlike(to_java(P.SERVER_DOWNLOAD_TO_SHELL, ignore_case=True, exact_edges=True))
+    single = F.array(
+        F.when(first & is_insecure_url(F.col("url")), _integrity("warn", "mcp-insecure-transport", F.concat(name, F.lit(": "), safe_preview(F.col("url"), 80)))),
+        F.when(first & piped, _integrity("warn", "mcp-curl-pipe-shell", F.concat(name, F.lit(": "), safe_preview(F.col("line"))))),
+        F.when(first & F.col("broken"), _integrity("warn", "unparseable-config", "not valid JSON")))
+    found = F.concat(F.filter(single, lambda f: f.isNotNull()), cves)
+    return joined.select("file", F.explode(found).alias("f")).select("f.severity", "f.kind", "file", "f.detail")
 
 
 def audit_rules_files(files: DataFrame) -> DataFrame:
-    """Integrity findings of agent rule files and of scripts in agent directories (``file, content``).
+    """Integrity findings of agent rule files and of scripts in agent directories (``file, content``), from one read.
 
     Known dropper names and suspicious invisible characters are warnings; loose
     scripts, loaded rule files and script joiners next to non-ASCII text are notes.
@@ -281,20 +314,18 @@ def audit_rules_files(files: DataFrame) -> DataFrame:
     top_level_script = path.rlike(r"/\.claude/[^/]+\z") & name.rlike(r"\.(?:mjs|cjs|js)\z")
     cursor_rule = path.rlike(r"/\.cursor/rules/[^/]+\z")
     dropper = ((top_level_script | path.rlike(r"/\.vscode/[^/]+\z")) & (name == "setup.mjs")) | (cursor_rule & (name == "setup.mdc"))
-    rules_file = cursor_rule | name.isin("claude.md", ".cursorrules")
-
-    def finding(severity: str, kind: str, df: DataFrame, detail: Column | str) -> DataFrame:
-        text = F.lit(detail) if isinstance(detail, str) else detail
-        return df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), "file", text.alias("detail"))
-
-    read = files.where(rules_file & F.col("content").rlike(INVISIBLE_CHARS)).select(
-        "file", invisibles_with_lines(F.col("content"), suspicious=True).alias("bad"),
-        invisibles_with_lines(F.col("content"), suspicious=False).alias("joiners"))
-    return (finding("warn", "dropper-name", files.where(dropper), "file name of a known dropper")
-            .unionByName(finding("info", "loose-script", files.where(top_level_script & ~dropper), "script in an agent directory"))
-            .unionByName(finding("info", "cursor-rule", files.where(cursor_rule & ~dropper), "loaded as agent instructions"))
-            .unionByName(finding("warn", "zero-width", read.where(F.size("bad") > 0), summarize_with_lines(F.col("bad"))))
-            .unionByName(finding("info", "zero-width", read.where(F.size("joiners") > 0), summarize_with_lines(F.col("joiners")))))
+    hidden = (cursor_rule | name.isin("claude.md", ".cursorrules")) & F.col("content").rlike(INVISIBLE_CHARS)
+
+    def characters(severity: str, suspicious: bool) -> Column:
+        shown = F.when(hidden, invisibles_with_lines(F.col("content"), suspicious))
+        return bind(shown, lambda found: F.when(F.size(found) > 0, _integrity(severity, "zero-width", summarize_with_lines(found))))
+
+    return _listed(
+        files,
+        F.when(dropper, _integrity("warn", "dropper-name", "file name of a known dropper")),
+        F.when(top_level_script & ~dropper, _integrity("info", "loose-script", "script in an agent directory")),
+        F.when(cursor_rule & ~dropper, _integrity("info", "cursor-rule", "loaded as agent instructions")),
+        characters("warn", True), characters("info", False))
 
 
 # Script joiners next to a character outside ASCII, as emoji and several scripts need them.

@@ -6,12 +6,16 @@ sets whose size does not grow with the data (sources of one fingerprint).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodesieve.catalog.guidance import GUIDANCE
 from lodesieve.functions.text import basename, fingerprint
+from lodesieve.session import checkpointed
 
 STATUS_ORDER = ("pending", "acked", "dismissed")
 DAY_MS = 86400000
@@ -258,7 +262,29 @@ def chunked_row_number(df: DataFrame, keys: list[str], chunk: Column, order: lis
     return numbered.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("bigint")).drop("_chunk", "_inside", "_offset")
 
 
-def reexposure_counts(findings: DataFrame, seq: str, rows_per_chunk: int = 100000) -> DataFrame:
+def spread_row_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``row_number`` per key in which a hot key is truly spread: rows are range partitioned by key and order.
+
+    Each partition numbers its own rows, one offset per partition shifts them (the
+    driver sees as many numbers as there are partitions), and the first number of a
+    key, an aggregate, is subtracted.  ``order`` should tell rows apart.
+    """
+    spark, by = df.sparkSession, [*keys, *order]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    shifts, total = [], 0
+    for row in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        shifts.append((row["part"], total - (row["part"] << 33)))
+        total += row["count"]
+    shift = F.broadcast(spark.createDataFrame(shifts, "_part bigint, _shift bigint"))  # one row per partition
+    at = placed.withColumn("_part", part).join(shift, "_part").withColumn("_at", F.col("_at") + F.col("_shift")).drop("_part", "_shift")
+    firsts = at.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_at").alias("_first"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return at.join(firsts, same).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *[f"_{k}" for k in keys])
+
+
+def reexposure_counts(findings: DataFrame, seq: str | list[str]) -> DataFrame:
     """Batch form of the watch: is this the first time a (rule, preview) is seen, and which time is it?"""
-    numbered = chunked_row_number(findings, ["rule_id", "preview"], F.floor(F.col(seq) / rows_per_chunk), [seq], "nth")
+    numbered = spread_row_number(findings, ["rule_id", "preview"], [seq] if isinstance(seq, str) else seq, "nth")
     return numbered.withColumn("event", F.when(F.col("nth") == 1, "finding").otherwise("reexposure"))

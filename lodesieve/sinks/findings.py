@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def write_findings(findings: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     """Write redacted findings, one directory per rule.
 
-    Refuses tables that still hold raw values.  Rows are spread by (rule, file)
-    before the write, so a rule with most findings is written by many tasks and a
-    small one into few files.
+    Refuses tables that still hold raw values.  Rows are rebalanced by rule before
+    the write: AQE splits a rule with most findings, or one huge file, over many
+    tasks by measured size, and a small rule gets few files.
     """
     leaked = {"value", "around", "before"} & set(findings.columns)
     if leaked:
         raise ValueError(f"raw values must not be written: {sorted(leaked)}")
-    (findings.repartition("rule_id", F.pmod(F.xxhash64("file"), F.lit(16)))
+    (findings.hint("rebalance", "rule_id")
      .write.mode(mode).partitionBy("rule_id").format(fmt).save(path))
 
 

@@ -76,15 +76,16 @@ def _file_columns() -> list[Column]:
             F.col("_metadata.file_size").alias("size_bytes")]
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], source: str, large_files: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], source: str, whole_files: bool = False) -> DataFrame:
     """Text or JSON-lines files as records with exact line numbers.
 
-    By default a file is one row that is split in place (no shuffle).  With
-    ``large_files`` a file is read in splits and numbered from the line counts of
-    the splits before: one small aggregate per (file, split), no window over a file.
+    A file is read in splits and numbered from the line counts of the splits
+    before: one small aggregate per (file, split), no window over a file, and no row
+    larger than a line.  With ``whole_files``, for many small files, a file is one
+    row that is split in place, without a shuffle.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    if not large_files:
+    if whole_files:
         whole = reader.text(paths, wholetext=True).select(F.lit(source).alias("source"), *_file_columns(), F.col("value").alias("text"))
         return explode_lines(whole)
     rows = reader.text(paths).select(

@@ -27,7 +27,6 @@ from lodesieve.operators.rollup import suppress_known
 from lodesieve.plans.scan import ScanOptions, classify, expanded_matches, findings_of, record_gate, record_hits
 
 RECORD_SCHEMA = "source string, file string, line int, text string, mtime_ms bigint, size_bytes bigint"
-STATE_TTL_MS = 30 * 24 * 3600 * 1000
 
 
 def read_record_stream(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
@@ -68,11 +67,11 @@ def stream_seams(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     return first.join(second, same & near).select("source", "file", "line", "mtime_ms", "tail", "head")
 
 
-def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Findings of a stream of records, seams across micro-batches included."""
+def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions(), delay: str = "1 hour") -> DataFrame:
+    """Findings of a stream of records, seams across micro-batches included, if neighbours arrive within ``delay``."""
     text = F.col("text")
     inside = explode_hits(records.where(record_gate(text, options)), record_hits(text, options))
-    over = straddling(stream_seams(records), options.secret_rules)
+    over = straddling(stream_seams(records, delay), options.secret_rules)
     matches = classify(inside.unionByName(over), options)
     return findings_of(expanded_matches(matches, options.include_suppressed))
 
@@ -130,6 +129,16 @@ def first_seen(findings: DataFrame, arrived: str, delay: str = "30 days") -> Dat
     return findings.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["rule_id", "preview"])
 
 
+def _published(batch: DataFrame, settled: DataFrame | None, path: str, batch_id: int) -> None:
+    """Counts of one micro-batch, as one file of the metrics table; a repeated batch replaces itself."""
+    rows = batch.withColumn("settled", F.lit(False)) if settled is None else batch.join(
+        settled.select("fingerprint").distinct().withColumn("_known", F.lit(True)), "fingerprint", "left").withColumn("settled", F.col("_known").isNotNull())
+    open_ = ~F.col("settled")
+    counts = rows.agg(F.count_if(open_ & (F.col("event") == "finding")).alias("loud"), F.count_if(open_ & (F.col("event") == "reexposure")).alias("quiet"),
+                      F.count_if("settled").alias("settled"))
+    counts.withColumn("batch", F.lit(batch_id).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(f"{path}/id={batch_id}")
+
+
 def baseline_of(findings: DataFrame) -> DataFrame:
     """Sightings in what exists before a watch starts."""
     return findings.groupBy("rule_id", "preview").agg(F.count("*").alias("n"))
@@ -137,29 +146,34 @@ def baseline_of(findings: DataFrame) -> DataFrame:
 
 def watch(findings: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
           load_ledger: Callable[[], DataFrame] | None = None, baseline: DataFrame | None = None,
-          once: bool = True) -> StreamingQuery:
+          once: bool = True, metrics: str | None = None, ttl_ms: int | None = None) -> StreamingQuery:
     """Run a watch: events of new findings go to ``sink(events, batch_id)``.
 
     The ledger is loaded again for every micro-batch, so an acknowledgement takes
     effect without a restart.  ``once`` handles what has arrived since the last
-    call and stops; otherwise the query runs on.  Counts per micro-batch are
-    published as the observed metrics ``watch``.
+    call and stops; otherwise the query runs on.  ``ttl_ms`` forgets sightings after
+    that time, if the query runs on; nothing is forgotten unless asked.  ``metrics``
+    is a folder for one row of counts per micro-batch: new, repeated and settled
+    events; see ``stream_metrics``.
     """
-    events = first_seen_or_reexposure(findings, baseline, None if once else STATE_TTL_MS).observe(
-        "watch", F.count_if(F.col("event") == "finding").alias("loud"), F.count_if(F.col("event") == "reexposure").alias("quiet"))
+    if once and ttl_ms is not None:
+        raise ValueError("sightings can only be forgotten by a query that runs on")
+    events = first_seen_or_reexposure(findings, baseline, ttl_ms)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sink(batch if load_ledger is None else suppress_known(batch, load_ledger()), batch_id)
+        settled = None if load_ledger is None else load_ledger()
+        batch = batch.persist()
+        try:
+            sink(batch if settled is None else suppress_known(batch, settled), batch_id)
+            if metrics is not None:
+                _published(batch, settled, metrics, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
-def stream_metrics(query: StreamingQuery) -> list[dict]:
-    """Counts of every finished micro-batch of a watch."""
-    out = []
-    for p in query.recentProgress:
-        observed = p.observedMetrics.get("watch")
-        if observed is not None:
-            out.append({"batch": p.batchId, "loud": observed["loud"], "quiet": observed["quiet"], "input_rows": p.numInputRows})
-    return out
+def stream_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of every finished micro-batch of a watch: ``batch, loud, quiet, settled``."""
+    return spark.read.parquet(f"{path}/id=*").select("batch", "loud", "quiet", "settled")

@@ -130,7 +130,7 @@ def test_line_numbers_of_large_files(spark, tmp_path):
         (tmp_path / name).write_text("".join(f"{name} line {i} {'x' * rng.randint(0, 90)}\n" if i % 7 else "\n" for i in range(1, 4001)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
-        large = src.read_lines(spark, str(tmp_path), "t", large_files=True)
+        large = src.read_lines(spark, str(tmp_path), "t")
         small = src.read_lines(spark, str(tmp_path), "t")
         cols = [F.element_at(F.split("file", "/"), -1).alias("f"), "line", "text"]
         assert large.select(*cols).exceptAll(small.select(*cols)).count() == 0 and large.count() == small.count() == 8000
