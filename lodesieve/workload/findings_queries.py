@@ -214,6 +214,14 @@ def verify_corpus(spark, sf_dir):
     return plant.verify_corpus(planted, truth).select("truth_id")
 
 
+@query(statement(TRUTH, "SELECT truth_id FROM truth WHERE file::bigint % 7 = 0"))
+def verify_broken_corpus(spark, sf_dir):
+    # The plants of each seventh document were lost: all of its truth is contradicted.
+    planted, truth = plant.plant_corpus(base.documents(spark, sf_dir))
+    broken = planted.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("text")))
+    return plant.verify_corpus(broken, truth).select("truth_id")
+
+
 # ---------------------------------------------------------------- matching and suppression
 
 _HIT = "source, file, line, rule_id, confidence, md5(value) AS value_md5"
