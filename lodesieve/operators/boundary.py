@@ -1,9 +1,10 @@
 """Values split over two neighbouring records of one file.
 
 The pair (n, n+1) is looked at through a window of 300 characters on each side
-of the seam.  Neighbours are found with an equi-join on (source, file, line),
+of the seam, or the whole unbroken word at the seam if that is longer: a token of
+any length is seen in full.  Neighbours are found with an equi-join on (source, file, line),
 not with a window over the file: the join spreads one huge file over all tasks
-and moves at most 300 characters per record.  Where a whole file is one row,
+and moves 300 characters per record, or that word.  Where a whole file is one row,
 ``seam_array`` pairs its lines inside the row and nothing is shuffled.
 """
 
@@ -20,6 +21,7 @@ from lodesieve.operators.extract import explode_hits, hit, located_matches, pass
 # Window, shortest content and shortest share of a value on one side.
 SEAM_WINDOW = 300
 MIN_CONTENT = 24
+WHOLE = 1 << 30  # a width that holds every seam
 MIN_SHARE = 4
 
 # Possessive on purpose: a repeated alternative would overflow the regex stack on long lines.
@@ -40,6 +42,16 @@ def with_content(records: DataFrame) -> DataFrame:
     return records.withColumn("content", content_of(F.col("text")))
 
 
+def seam_tail(content: Column) -> Column:
+    """What a value could begin with at the end of a record."""
+    return F.right(content, F.greatest(F.lit(SEAM_WINDOW), F.length(F.substring_index(content, " ", -1))))
+
+
+def seam_head(content: Column) -> Column:
+    """What a value could end with at the start of a record."""
+    return F.left(content, F.greatest(F.lit(SEAM_WINDOW), F.length(F.substring_index(content, " ", 1))))
+
+
 def record_seams(records: DataFrame) -> DataFrame:
     """Seams between neighbouring, non-blank records.
 
@@ -47,8 +59,8 @@ def record_seams(records: DataFrame) -> DataFrame:
     """
     content = content_of(F.col("text"))
     filled = records.where(F.length("text") > 0)
-    first = filled.select("source", "file", "line", "mtime_ms", F.right(content, F.lit(SEAM_WINDOW)).alias("tail"))
-    second = filled.select("source", "file", (F.col("line") - 1).alias("line"), F.left(content, F.lit(SEAM_WINDOW)).alias("head"))
+    first = filled.select("source", "file", "line", "mtime_ms", seam_tail(content).alias("tail"))
+    second = filled.select("source", "file", (F.col("line") - 1).alias("line"), seam_head(content).alias("head"))
     return first.join(second, ["source", "file", "line"])
 
 
@@ -57,7 +69,7 @@ def seam_array(lines: Column) -> Column:
     def pairs(contents: Column) -> Column:
         following = F.slice(contents, F.lit(2), F.greatest(F.size(contents) - 1, F.lit(0)))
         return F.zip_with(contents, following, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(
-            F.right(a, F.lit(SEAM_WINDOW)).alias("tail"), F.left(b, F.lit(SEAM_WINDOW)).alias("head"))))
+            seam_tail(a).alias("tail"), seam_head(b).alias("head"))))
 
     return bind(F.transform(lines, lambda t: F.when(F.length(t) > 0, content_of(t))), pairs)
 
@@ -88,7 +100,7 @@ def seam_hits(tail: Column, head: Column, rules: tuple[Rule, ...] = DEFAULT_RULE
     """
     seam = F.length(tail)
     # Wide enough to hold everything before a match, so its length is the offset.
-    table = rule_table(rules, width=2 * SEAM_WINDOW)
+    table = rule_table(rules, width=WHOLE)
 
     def flush(m: Column) -> Column:
         values, gaps = (F.regexp_extract_all(tail, m[r], F.lit(g)) for r, g in (("regex", 0), ("gap_regex", 1)))

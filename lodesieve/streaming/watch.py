@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodesieve.operators.boundary import SEAM_WINDOW, content_of, straddling
+from lodesieve.operators.boundary import content_of, seam_head, seam_tail, straddling
 from lodesieve.operators.extract import explode_hits
 from lodesieve.operators.rollup import suppress_known
 from lodesieve.plans.scan import ScanOptions, classify, expanded_matches, findings_of, record_gate, record_hits
@@ -53,15 +53,15 @@ def stream_seams(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Seams of a stream of records, each exactly once, however the records are batched.
 
     A stream-stream equi-join on (source, file, line): one huge file is spread by
-    line, only windows of 300 characters are kept, and they expire when neighbours
+    line, only the windows at the seams are kept, and they expire when neighbours
     are more than ``delay`` apart.
     """
     content = content_of(F.col("text"))
     filled = records.where(F.length("text") > 0).withWatermark("arrived", delay)
     first = filled.select("source", "file", "line", "mtime_ms", F.col("arrived").alias("first_arrived"),
-                          F.right(content, F.lit(SEAM_WINDOW)).alias("tail"))
+                          seam_tail(content).alias("tail"))
     second = filled.select(F.col("source").alias("s"), F.col("file").alias("f"), (F.col("line") - 1).alias("l"),
-                           F.col("arrived").alias("second_arrived"), F.left(content, F.lit(SEAM_WINDOW)).alias("head"))
+                           F.col("arrived").alias("second_arrived"), seam_head(content).alias("head"))
     near = F.expr(f"second_arrived between first_arrived - interval {delay} and first_arrived + interval {delay}")
     same = (F.col("source") == F.col("s")) & (F.col("file") == F.col("f")) & (F.col("line") == F.col("l"))
     return first.join(second, same & near).select("source", "file", "line", "mtime_ms", "tail", "head")

@@ -96,6 +96,11 @@ def test_split_values(records):
     assert scan_boundary(records(half, "", rest)).count() == 0
     # fewer than four characters on one side
     assert scan_boundary(records("end " + PAT[:3], PAT[3:])).count() == 0
+    # a token that is longer than the window on either side
+    jwt = "eyJ" + "hbGciOiJIUzI1NiJ9x" * 40 + "." + "eyJ" + "zdWIiOiIxMjM0NTY3" * 60 + "." + "c2lnbmF0dXJl" * 50
+    for cut in (450, 1200):
+        got = scan_boundary(records("it begins " + jwt[:cut], jwt[cut:] + " and ends")).collect()
+        assert [(r.rule_id, r.value) for r in got if r.rule_id == "jwt"] == [("jwt", jwt)]
     # complete on one side, the other side merely goes on with allowed characters
     assert scan_boundary(records("end " + PAT, "continues here")).count() == 0
     assert scan_boundary(records("sk_live", "_" + "aB3dE6gH9" * 4)).count() == 1
