@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 CHUNK = 1 << 16        # characters
 LIMIT = 4096           # tokens; longer documents are marked
-MAX_STATES = 200_000   # compiled ones that a worker holds
-MAX_WORDS = 600_000    # whose transitions a worker holds
+MAX_STATES = 300_000   # compiled ones that a worker holds
+MAX_WORDS = 400_000    # whose transitions a worker holds
 
 
 class _State(dict):
@@ -137,8 +137,10 @@ class Transducer:
         return state, total
 
     def trim(self) -> None:
-        """Between batches: forgets what was compiled when it is too much."""
-        if len(self.states) > MAX_STATES or len(self.words) > MAX_WORDS or len(self.near) > 4 * MAX_STATES:
+        """Between texts: forgets what was compiled when it is too much. Words go alone; the states rebuild them soon."""
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        if len(self.states) > MAX_STATES or len(self.near) > 2 * MAX_STATES:
             self.clear()
 
 
@@ -211,8 +213,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            machine = _transducer(model)
-            found = [chunk_map(machine, part.as_py(), at.as_py() == 0) for part, at in zip(batch.column("part"), batch.column("at"), strict=True)]
+            found = [chunk_map(_transducer(model), part.as_py(), at.as_py() == 0) for part, at in zip(batch.column("part"), batch.column("at"), strict=True)]
             heads, counts, tails = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(heads, pa.string()), pa.array(counts, pa.int64()), pa.array(tails, pa.string())],
                                              names=["doc_id", "row", "n_bytes", "at", "head", "count", "tail"])
