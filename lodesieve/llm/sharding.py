@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesieve.llm.common import attached, numbered, text_key
+from lodesieve.llm.common import attached, numbered, saved, text_key
 
 LAW = "rows"
 
@@ -22,7 +22,7 @@ LAW = "rows"
 def shard(df: DataFrame, n_shards: int, key: str = "doc_id", source: str = "source", ties: tuple[str, ...] = (), seed: int = 20) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0). ties: columns that tell rows of one id apart."""
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = df.drop("shard", "slot").withColumn("_draw", draw)
+    rows = saved(df.drop("shard", "slot").withColumn("_draw", draw))  # range partitioning reads its input twice
     order = ["_draw", key, *ties]
     ranked = numbered(rows, [source, *order], "_rank")
     sources = ranked.groupBy(F.col(source).alias("_source")).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
