@@ -59,9 +59,14 @@ def numbered(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
             .withColumn(name, F.col("_offset") + inside).drop("_part", "_offset", "_local"))
 
 
+def id_key() -> Column:
+    """doc_id as a text that is never null: a join by it and a later window share one shuffle."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(id, key, row): each row as one struct, so that no column of docs can clash with columns of an operator."""
-    return docs.select(F.col("doc_id").alias("id"), text_key().alias("key"), F.struct(*docs.columns).alias("row"))
+    return docs.select(id_key().alias("id"), text_key().alias("key"), F.struct(*docs.columns).alias("row"))
 
 
 def attached(docs: DataFrame, values: DataFrame) -> DataFrame:
@@ -69,7 +74,7 @@ def attached(docs: DataFrame, values: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and text take the values in ascending order, one each. The text moves once, by its key.
     """
-    found = values.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("value")).alias("values"))
-    rows = packed(docs).join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
+    found = values.groupBy(id_key().alias("id"), F.col("text_key").alias("key")).agg(F.sort_array(F.collect_list("value")).alias("values"))
+    rows = packed(docs).join(found, ["id", "key"])
     turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.size("values")))
     return rows.withColumn("turn", turn).select("row", F.element_at("values", F.col("turn")).alias("value"))

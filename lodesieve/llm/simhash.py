@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodesieve.llm.common import packed, saved, text_key
+from lodesieve.llm.common import id_key, packed, saved, text_key
 from lodesieve.llm.components import components
 
 SHINGLE = 3
@@ -190,7 +190,7 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row of each group: that with the least doc_id (nulls last), of several such rows one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    kept = near_groups(docs, budget).groupBy("group").agg(first.alias("first")).select("first.*")
-    rows = packed(docs).join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi")
+    kept = near_groups(docs, budget).groupBy("group").agg(first.alias("first")).select("first.*").select(id_key().alias("id"), F.col("text_key").alias("key"))
+    rows = packed(docs).join(kept, ["id", "key"], "left_semi")
     turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
     return rows.withColumn("turn", turn).where("turn = 1").select("row.*")
