@@ -10,7 +10,7 @@ when first met, like those of a lazy DFA, and dropped together when there are to
 No piece of the model goes on after a blank that follows a letter, so reading a blank there always leads to the same state.
 A text is cut into chunks anywhere; the map of a chunk sends an entry state to an exit state and a count. It is the part
 before its first such blank, kept to be run from the entry state, and a constant count and exit after it. Chunks are spread
-as rows, and a prefix scan composes their maps in order.
+as rows, and their maps are composed one after the other in order.
 
 A null text counts as empty: no token. Repeated rows are counted one by one. Strings of control tokens inside a text are
 plain text; no normalisation takes place, and a blank is put in front, as the model says.
