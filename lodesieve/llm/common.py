@@ -78,3 +78,13 @@ def attached(docs: DataFrame, values: DataFrame) -> DataFrame:
     rows = packed(docs).join(found, ["id", "key"])
     turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.size("values")))
     return rows.withColumn("turn", turn).select("row", F.element_at("values", F.col("turn")).alias("value"))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesieve.llm import chat, decontaminate, embeddings, mixing, quality, sharding, simhash, substrings, tokens, toxicity
-from lodesieve.llm.common import table
+from lodesieve.llm import (anomalies, chat, decontaminate, embeddings, lexical, mixing, periodic, quality, sharding, simhash, substrings, tokens,
+                           toxicity)
+from lodesieve.llm.common import WORD, table
 
 SHARDS = 40
 TOKENIZER = "piece_bpe_32k.model"
@@ -66,6 +67,43 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def seeded_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, told by the CRC-32 of their id, repeat a period of their own words from some word on."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(hashed / 10)
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        start = (g % n).cast("int")
+        period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+        again = F.transform(F.sequence(start, n - 1), lambda i: F.get(w, start + (i - start) % period))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, start), again), " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    # The lambda's variable holds the words, which would be extracted anew for each of its uses otherwise.
+    text = F.when(hashed % 10 == 0, F.element_at(F.transform(F.array(words), repeat), 1)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(seeded_repeats(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key", "anomaly")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chats": op2_format_chats,
@@ -77,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op11_periodic": op11_periodic,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -138,4 +179,50 @@ reach(a, b) AS (SELECT r, r FROM vectors UNION SELECT reach.a, links.b FROM reac
 parts AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN vectors ON reach.b = vectors.r GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vectors.r)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM vectors JOIN parts USING (r)""",
+    "op11_periodic": r"""
+WITH RECURSIVE hashed AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [k::BIGINT FOR k IN range(8)]),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) AS h FROM documents),
+shaped AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM hashed),
+planted AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM shaped),
+texts AS (
+  SELECT r, doc_id, n, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND n > 0
+         THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM planted),
+words AS (SELECT r, i, dense_rank() OVER (ORDER BY word) AS word FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM texts WHERE n > 0)),
+ids AS (SELECT r, list(word ORDER BY i) AS x, count(*) AS n FROM words GROUP BY r),
+lags AS (SELECT r, x, n, unnest(range(1, n // 4 + 1)) AS q FROM ids WHERE n >= 6),
+spots AS (SELECT r, q, x, n, unnest(range(0, n - 3 * q, q)) AS i FROM lags),
+probed AS (SELECT DISTINCT r, q FROM spots WHERE x[i + 1] = x[i + q + 1] AND x[i + q + 1] = x[i + 2 * q + 1] AND x[i + 2 * q + 1] = x[i + 3 * q + 1]),
+equal AS (SELECT r, q, i FROM (SELECT r, q, x, n, unnest(range(0, n - q)) AS i FROM probed JOIN ids USING (r)) WHERE x[i + 1] = x[i + q + 1]),
+islands AS (SELECT r, q, min(i) AS start, count(*) + q AS length
+            FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS list FROM runs GROUP BY r),
+strongest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text
+         FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM texts WHERE n > 0) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256, n::BIGINT AS n_words
+FROM texts LEFT JOIN listed USING (r) LEFT JOIN strongest USING (r) LEFT JOIN kept USING (r)""",
+    "op12_lexical_search": r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+item_terms AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+corpus AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM doc_terms WHERE len(w) > 0),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM doc_terms) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+            FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), corpus),
+lengths AS (SELECT r, doc_id, 25 + (75 * len(w) * docs) // terms AS m FROM doc_terms, corpus WHERE len(w) > 0),
+wanted AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM item_terms) GROUP BY ALL),
+scores AS (
+  SELECT item, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
