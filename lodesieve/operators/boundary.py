@@ -1,10 +1,12 @@
 """Values split over two neighbouring records of one file.
 
-The pair (n, n+1) is looked at through a window of 300 characters on each side
-of the seam, or the whole unbroken word at the seam if that is longer: a token of
-any length is seen in full.  Neighbours are found with an equi-join on (source, file, line),
-not with a window over the file: the join spreads one huge file over all tasks
-and moves 300 characters per record, or that word.  Where a whole file is one row,
+The pair (n, n+1) is looked at through two windows, the end of n and the start of n+1.
+The rules' patterns say how far a match can reach (see ``functions.reach``), so the
+windows are a few words, or one word of any length, and no split value is cut off.
+
+Records meet in blocks of ``BLOCK_LINES`` lines of a file; the first record of a block
+also stands at the end of the block before.  One shuffle of the windows brings a block
+together, and one huge file is spread over all tasks.  Where a whole file is one row,
 ``seam_array`` pairs its lines inside the row and nothing is shuffled.
 """
 
@@ -12,17 +14,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodesieve.catalog.rules import DEFAULT_RULES, Rule
+from lodesieve.functions.reach import beginning_of, ending_of
 from lodesieve.functions.regex import SPACE
 from lodesieve.functions.text import bind
 from lodesieve.operators.extract import explode_hits, hit, located_matches, passes_gate, rule_table
 
-# Window, shortest content and shortest share of a value on one side.
-SEAM_WINDOW = 300
+# Shortest content and shortest share of a value on one side.
 MIN_CONTENT = 24
 WHOLE = 1 << 30  # a width that holds every seam
 MIN_SHARE = 4
+BLOCK_LINES = 1024  # of a file, paired in one group
 
 # Possessive on purpose: a repeated alternative would overflow the regex stack on long lines.
 _JSON_STRING = r'"((?:[^"\\]++|\\[\s\S]?+)*+)(?:"|\z)'
@@ -42,36 +46,44 @@ def with_content(records: DataFrame) -> DataFrame:
     return records.withColumn("content", content_of(F.col("text")))
 
 
-def seam_tail(content: Column) -> Column:
-    """What a value could begin with at the end of a record."""
-    return F.right(content, F.greatest(F.lit(SEAM_WINDOW), F.length(F.substring_index(content, " ", -1))))
+def seam_windows(content: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
+    """``(tail, head)``: what a value could begin with at the end of a record, and end with at its start."""
+    return bind(content, lambda c: F.struct(beginning_of(c, rules).alias("tail"), ending_of(c, rules).alias("head")))
+
+
+def windowed(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+    """Records without their text, as ``tail`` and ``head``; those that can be part of no split value are left out."""
+    both = seam_windows(content_of(F.col("text")), rules)
+    filled = records.where((F.length("text") > 0) & F.col("line").isNotNull())
+    rows = filled.select(*[c for c in records.columns if c not in ("text", "tail", "head", "size_bytes")], F.explode(F.array(both)).alias("w")).select("*", "w.*").drop("w")
+    return rows.where((F.length("tail") >= MIN_SHARE) | (F.length("head") >= MIN_SHARE))
 
 
-def seam_head(content: Column) -> Column:
-    """What a value could end with at the start of a record."""
-    return F.left(content, F.greatest(F.lit(SEAM_WINDOW), F.length(F.substring_index(content, " ", 1))))
+def in_blocks(rows: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
+    """Add ``block``; the first row of a block also comes last in the block before."""
+    own = F.floor(F.col("line") / lines)
+    return rows.withColumn("block", F.explode(F.when(F.col("line") % lines == 0, F.array(own - 1, own)).otherwise(F.array(own))))
 
 
-def record_seams(records: DataFrame) -> DataFrame:
+def record_seams(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Seams between neighbouring, non-blank records.
 
     ``line`` is the first record's; ``tail`` and ``head`` are the two windows.
     """
-    content = content_of(F.col("text"))
-    filled = records.where(F.length("text") > 0)
-    first = filled.select("source", "file", "line", "mtime_ms", seam_tail(content).alias("tail"))
-    second = filled.select("source", "file", (F.col("line") - 1).alias("line"), seam_head(content).alias("head"))
-    return first.join(second, ["source", "file", "line"])
+    following = Window.partitionBy("source", "file", "block").orderBy("line").rangeBetween(1, 1)
+    rows = in_blocks(windowed(records, rules).select("source", "file", "line", "mtime_ms", "tail", "head"))
+    paired = rows.select("source", "file", "line", "mtime_ms", "tail", F.collect_list("head").over(following).alias("heads"))
+    return paired.select("source", "file", "line", "mtime_ms", "tail", F.explode("heads").alias("head"))
 
 
-def seam_array(lines: Column) -> Column:
+def seam_array(lines: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """Array of ``(tail, head)`` of each line and the one after it; NULL where either is blank or missing."""
-    def pairs(contents: Column) -> Column:
-        following = F.slice(contents, F.lit(2), F.greatest(F.size(contents) - 1, F.lit(0)))
-        return F.zip_with(contents, following, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(
-            seam_tail(a).alias("tail"), seam_head(b).alias("head"))))
+    def pairs(windows: Column) -> Column:
+        following = F.slice(windows, F.lit(2), F.greatest(F.size(windows) - 1, F.lit(0)))
+        return F.zip_with(windows, following, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(
+            a["tail"].alias("tail"), b["head"].alias("head"))))
 
-    return bind(F.transform(lines, lambda t: F.when(F.length(t) > 0, content_of(t))), pairs)
+    return bind(F.transform(lines, lambda t: F.when(F.length(t) > 0, seam_windows(content_of(t), rules))), pairs)
 
 
 def seam_gate(tail: Column, head: Column, rules: tuple[Rule, ...]) -> Column:
@@ -133,7 +145,7 @@ def straddling(seams: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Dat
 
 def scan_boundary(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """Values split over two neighbouring records; one row per split value."""
-    return straddling(record_seams(records), rules)
+    return straddling(record_seams(records, rules), rules)
 
 
 def both_lines(matches: DataFrame) -> DataFrame:

@@ -47,18 +47,26 @@ def _resolved(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Findings with the file of the truth that theirs stands for, as in ``file_matches``; their own if there is none.
 
     An absolute path matches itself, a relative one the end of a path, a bare name
-    the last part: all are keys of an equi-join.  Of several files the one that
-    holds the value is taken, then the one with the line, then the one with the
-    family, then the first.
+    the last part: all are keys of an equi-join.  A key of one file is settled by one
+    join.  A key of several files is settled by equi-joins of falling rank, on the
+    value and line, the value, the line, the family, or the key alone.  Each of them
+    takes the first file, and each of its tables has one row per key, so a finding
+    meets one row per rank however many files bear its name.
     """
-    files = truth.select("file").distinct().select(F.col("file").alias("_to"), F.explode(_suffixes(F.col("file"))).alias("_key"))
-    pairs = found.join(files, F.col("file") == F.col("_key")).drop("_key")
-    keys = {"value": F.col("value"), "line": F.col("line").cast("string"), "rule_family": F.col("rule_family")}
-    for i, (name, key) in enumerate(keys.items()):
-        held = truth.where(F.col(name).isNotNull()).select(F.col("file").alias("_to"), F.col(name).cast("string").alias(f"_k{i}")).distinct().withColumn(f"_h{i}", F.lit(0))
-        pairs = pairs.withColumn(f"_k{i}", key).join(held, ["_to", f"_k{i}"], "left")
-    best = pairs.groupBy("id").agg(F.min_by("_to", F.struct(*[F.coalesce(f"_h{i}", F.lit(1)) for i in range(len(keys))], "_to")).alias("_to"))
-    return found.join(best, "id", "left").withColumn("file", F.coalesce("_to", "file")).drop("_to")
+    names = found.select(F.col("file").alias("_key")).distinct()
+    files = (truth.select("file").distinct().select(F.col("file").alias("_to"), F.explode(_suffixes(F.col("file"))).alias("_key"))
+             .join(names, "_key", "left_semi"))
+    known = files.groupBy("_key").agg(F.min("_to").alias("_first"), (F.count("*") > 1).alias("_several"))
+    keyed = found.join(known, F.col("file") == F.col("_key"), "left")
+    plain = keyed.where(~F.coalesce("_several", F.lit(False))).withColumn("file", F.coalesce("_first", "file"))
+    shared = files.join(known.where("_several").select("_key"), "_key", "left_semi")
+    held = truth.join(shared, F.col("file") == F.col("_to")).select("_key", "_to", "value", "line", "rule_family")
+    ranked = keyed.where("_several")
+    ranks = (("value", "line"), ("value",), ("line",), ("rule_family",))
+    for i, by in enumerate(ranks):
+        ranked = ranked.join(held.groupBy("_key", *by).agg(F.min("_to").alias(f"_to{i}")), ["_key", *by], "left")
+    ranked = ranked.withColumn("file", F.coalesce(*[f"_to{i}" for i in range(len(ranks))], "_first"))
+    return plain.select(*found.columns).unionByName(ranked.select(*found.columns))
 
 
 def _rank(df: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def attribute_findings(found: DataFrame, truth: DataFrame) -> DataFrame:
     """
     hashed = F.sha2(F.col("value"), 256).alias("value")
     t = checkpointed(truth.select(F.col("truth_id").alias("id"), "file", "line", hashed, "rule_family", "kind"))
-    f = checkpointed(_resolved(found.select(F.col("finding_id").alias("id"), "file", "line", hashed, "rule_family"), t))
+    f = _resolved(checkpointed(found.select(F.col("finding_id").alias("id"), "file", "line", hashed, "rule_family")), t)
     kind_rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _KIND_RANK.items()], F.lit(3))
 
     pools = {name: t.select("id", "file", "line", key.alias("group"), kind_rank.alias("kind_rank"))

@@ -94,7 +94,7 @@ def all_matches(records: DataFrame, options: ScanOptions = ScanOptions()) -> Dat
     """
     text = F.col("text")
     inside = explode_hits(records.where(record_gate(text, options)), record_hits(text, options))
-    return classify(inside.unionByName(straddling(record_seams(records), options.secret_rules)), options)
+    return classify(inside.unionByName(straddling(record_seams(records, options.secret_rules), options.secret_rules)), options)
 
 
 def all_matches_of_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -102,7 +102,7 @@ def all_matches_of_files(files: DataFrame, options: ScanOptions = ScanOptions())
     text = F.col("text")
     lines = (files.select("source", "file", "mtime_ms", lines_of(text).alias("lines"))
              .select("source", "file", "mtime_ms", F.posexplode(
-                 F.arrays_zip("lines", seam_array(F.col("lines")).alias("seams"))).alias("i", "z"))
+                 F.arrays_zip("lines", seam_array(F.col("lines"), options.secret_rules).alias("seams"))).alias("i", "z"))
              .select("source", "file", (F.col("i") + 1).alias("line"), "mtime_ms",
                      F.col("z.lines").alias("text"), F.col("z.seams").alias("seam")))
     over = seam_hits(F.col("seam.tail"), F.col("seam.head"), options.secret_rules)

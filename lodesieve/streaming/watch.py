@@ -2,26 +2,29 @@
 
 The stream runs the same column expressions as a batch.  Two things need state:
 
-* seams: a record waits for its successor, which may arrive in a later
-  micro-batch (a stream-stream join with a watermark);
+* seams: the open end of a record waits for its neighbour, which may arrive in any
+  later micro-batch (a map of open ends per block of lines);
 * alerts: the first sighting of a (rule, preview) is a ``finding``, later ones are
   ``reexposure`` with a running count (a keyed count with a time to live).
 
-Both expire, so the state store does not grow for ever.  Set
+An end leaves the state as soon as its neighbour comes, so a file that was read in
+full keeps one short window.  Both take a time to live.  Set
 ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodesieve.operators.boundary import content_of, seam_head, seam_tail, straddling
+from lodesieve.catalog.rules import DEFAULT_RULES, Rule
+from lodesieve.operators.boundary import BLOCK_LINES, in_blocks, straddling, windowed
 from lodesieve.operators.extract import explode_hits
 from lodesieve.operators.rollup import suppress_known
 from lodesieve.plans.scan import ScanOptions, classify, expanded_matches, findings_of, record_gate, record_hits
@@ -39,6 +42,22 @@ def read_record_stream(spark: SparkSession, path: str, max_files: int | None = N
     return reader.load(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
 
 
+def read_file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Whole files that arrive under ``path``: ``source, file, content, arrived``.
+
+    Each delivery is a folder, ``path/<delivery>/<source>/<file>/<part>``, because a stream
+    takes a path once: a rewritten file comes in a new delivery under its old name.
+    """
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    at = F.split("path", "/")
+    return reader.schema(schema).load(path).select(
+        F.element_at(at, -3).alias("source"), F.element_at(at, -2).alias("file"), F.col("content").cast("string").alias("content"),
+        F.col("modificationTime").alias("arrived"))
+
+
 def new_versions(files: DataFrame, delay: str = "30 days") -> DataFrame:
     """Rewritten files, once per content: a new time with the same bytes is no news.
 
@@ -49,30 +68,74 @@ def new_versions(files: DataFrame, delay: str = "30 days") -> DataFrame:
             .withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["source", "file", "content_hash"]))
 
 
-def stream_seams(records: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Seams of a stream of records, each exactly once, however the records are batched.
+class _SeamProcessor(StatefulProcessor):
+    """Pairs the lines of one block of a file, whenever and in whatever order they arrive.
 
-    A stream-stream equi-join on (source, file, line): one huge file is spread by
-    line, only the windows at the seams are kept, and they expire when neighbours
-    are more than ``delay`` apart.
+    ``tails`` and ``heads`` hold the open ends by line.  Lines that come together are paired
+    at once; only what is left over touches the state.
     """
-    content = content_of(F.col("text"))
-    filled = records.where(F.length("text") > 0).withWatermark("arrived", delay)
-    first = filled.select("source", "file", "line", "mtime_ms", F.col("arrived").alias("first_arrived"),
-                          seam_tail(content).alias("tail"))
-    second = filled.select(F.col("source").alias("s"), F.col("file").alias("f"), (F.col("line") - 1).alias("l"),
-                           F.col("arrived").alias("second_arrived"), seam_head(content).alias("head"))
-    near = F.expr(f"second_arrived between first_arrived - interval {delay} and first_arrived + interval {delay}")
-    same = (F.col("source") == F.col("s")) & (F.col("file") == F.col("f")) & (F.col("line") == F.col("l"))
-    return first.join(second, same & near).select("source", "file", "line", "mtime_ms", "tail", "head")
-
-
-def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions(), delay: str = "1 hour") -> DataFrame:
-    """Findings of a stream of records, seams across micro-batches included, if neighbours arrive within ``delay``."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        limits = {} if self._ttl_ms is None else {"ttlDurationMs": self._ttl_ms}
+        self._tails = handle.getMapState("tails", "line int", "tail string, mtime_ms bigint", **limits)
+        self._heads = handle.getMapState("heads", "line int", "head string", **limits)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        tails: dict[int, tuple[str, int | None]] = {}
+        heads: dict[int, str] = {}
+        for batch in rows:
+            for line, own, tail, head, mtime in zip(batch["line"], batch["own"], batch["tail"], batch["head"], batch["mtime_ms"], strict=True):
+                if own:
+                    tails[int(line)] = (tail, None if pd.isna(mtime) else int(mtime))
+                if not own or line % BLOCK_LINES:  # the first line of a block ends the block before
+                    heads[int(line)] = head
+        found = [(line, *tails.pop(line), heads.pop(line + 1)) for line in sorted(tails) if line + 1 in heads]
+        for line, (tail, mtime) in tails.items():
+            if self._heads.containsKey((line + 1,)):
+                found.append((line, tail, mtime, self._heads.getValue((line + 1,))[0]))
+                self._heads.removeKey((line + 1,))
+            else:
+                self._tails.updateValue((line,), (tail, mtime))
+        for line, head in heads.items():
+            if self._tails.containsKey((line - 1,)):
+                tail, mtime = self._tails.getValue((line - 1,))
+                found.append((line - 1, tail, mtime, head))
+                self._tails.removeKey((line - 1,))
+            elif line > 1:
+                self._heads.updateValue((line,), (head,))
+        rows = [(*key[:2], line, mtime, tail, head) for line, tail, mtime, head in found]
+        yield pd.DataFrame(rows, columns=["source", "file", "line", "mtime_ms", "tail", "head"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_seams(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, ttl_ms: int | None = None) -> DataFrame:
+    """Seams of a stream of records, each exactly once, however far apart the two records arrive.
+
+    State is keyed by (source, file, block of lines), so one huge file is spread; it holds
+    only windows whose neighbour has not come yet.  Nothing is given up unless ``ttl_ms``
+    is set, which needs a query that runs on.
+    """
+    rows = in_blocks(windowed(records, rules).select("source", "file", "line", "mtime_ms", "tail", "head"))
+    # Where a row stands at the end of the block before its own, only its head counts.
+    rows = rows.withColumn("own", F.col("block") == F.floor(F.col("line") / BLOCK_LINES))
+    return rows.groupBy("source", "file", "block").transformWithStateInPandas(
+        statefulProcessor=_SeamProcessor(ttl_ms), outputStructType="source string, file string, line int, mtime_ms bigint, tail string, head string",
+        outputMode="append", timeMode="None" if ttl_ms is None else "ProcessingTime")
+
+
+def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions(), seam_ttl_ms: int | None = None) -> DataFrame:
+    """Findings of a stream of records, values split over micro-batches included."""
     text = F.col("text")
-    inside = explode_hits(records.where(record_gate(text, options)), record_hits(text, options))
-    over = straddling(stream_seams(records, delay), options.secret_rules)
+    counted = records.observe("records", F.count(F.lit(1)).alias("records"), F.count_if(text.isNull()).alias("failed"))
+    inside = explode_hits(counted.where(record_gate(text, options)), record_hits(text, options))
+    over = straddling(stream_seams(records, options.secret_rules, seam_ttl_ms), options.secret_rules)
     matches = classify(inside.unionByName(over), options)
+    matches = matches.observe("matches", F.count_if(F.col("suppressed_reason").isNotNull()).alias("suppressed"))
     return findings_of(expanded_matches(matches, options.include_suppressed))
 
 
@@ -174,6 +237,43 @@ def watch(findings: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
-def stream_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Counts of every finished micro-batch of a watch: ``batch, loud, quiet, settled``."""
-    return spark.read.parquet(f"{path}/id=*").select("batch", "loud", "quiet", "settled")
+class StreamCounts(StreamingQueryListener):
+    """What the stream itself counted per micro-batch: records read, records without a readable text, suppressed matches.
+
+    Register it with ``spark.streams.addListener``; one row of three numbers per batch reaches the driver.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[int, tuple[int, int, int]] = {}
+        self._seen = -1
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        observed = event.progress.observedMetrics
+        if "records" in observed and "matches" in observed:
+            self.rows[event.progress.batchId] = (observed["records"]["records"], observed["records"]["failed"], observed["matches"]["suppressed"])
+        self._seen = max(self._seen, event.progress.batchId)
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 30) -> None:
+        """Progress is told asynchronously: wait until the last batch of a finished query has been told."""
+        last = query.lastProgress
+        end = time.monotonic() + seconds
+        while last is not None and self._seen < last["batchId"] and time.monotonic() < end:
+            time.sleep(0.05)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(b, *counts) for b, counts in sorted(self.rows.items())], "batch bigint, records bigint, failed bigint, suppressed bigint")
+
+
+def stream_metrics(spark: SparkSession, path: str, counts: StreamCounts | None = None) -> DataFrame:
+    """Counts of every finished micro-batch of a watch: ``batch, loud, quiet, settled``, with ``records, failed, suppressed`` of a listener."""
+    events = spark.read.parquet(f"{path}/id=*").select("batch", "loud", "quiet", "settled")
+    return events if counts is None else events.join(counts.table(spark), "batch", "left")

@@ -245,9 +245,17 @@ _CONV_LINES = """lines AS (SELECT 'conversations' AS source, conv_id::varchar AS
     text || ' ' || 'AKIA' || upper(translate(substr(md5(conv_id::varchar || '.' || turn), 1, 16), '0189', 'GHIJ')) AS text FROM conversations)"""
 
 
+def key_of(seed):
+    """A made-up access key per seed."""
+    return F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(F.md5(seed), 1, 16), "0189", "GHIJ")))
+
+
+def key_sql(seed: str) -> str:
+    return f"'AKIA' || upper(translate(substr(md5({seed}), 1, 16), '0189', 'GHIJ'))"
+
+
 def _key(conv="conv_id", turn="turn"):
-    digits = F.translate(F.substring(F.md5(F.concat(F.col(conv).cast("string"), F.lit("."), F.col(turn).cast("string"))), 1, 16), "0189", "GHIJ")
-    return F.concat(F.lit("AKIA"), F.upper(digits))
+    return key_of(F.concat(F.col(conv).cast("string"), F.lit("."), F.col(turn).cast("string")))
 
 
 @query(f"WITH {_CONV_LINES}, m AS ({O.all_rules(R.DEFAULT_RULES)}) SELECT {_HIT} FROM m")
@@ -371,8 +379,8 @@ def with_content(spark, sf_dir):
 
 _SEAM_CTES = [
     _WITH_CONTENT,
-    ("seams", """SELECT a.source, a.file, a.line, a.mtime_ms, right(a.content, 300) AS tail, left(b.content, 300) AS head,
-        right(a.content, 300) || left(b.content, 300) AS text
+    # Whole lines on both sides: the windows of the operator must lose nothing.
+    ("seams", """SELECT a.source, a.file, a.line, a.mtime_ms, a.content AS tail, b.content AS head, a.content || b.content AS text
         FROM contents a JOIN contents b ON a.source = b.source AND a.file = b.file AND a.line + 1 = b.line"""),
     ("m", O.all_rules(R.DEFAULT_RULES, "seams", "source, file, line, mtime_ms, tail, head")),
     ("located", "SELECT *, strpos(text, value) - 1 AS s, strpos(text, value) - 1 + length(value) AS e, length(tail) AS seam FROM m"),
@@ -387,6 +395,31 @@ _FLUSH = " UNION ALL ".join(
 _SEAM_CTES = _SEAM_CTES + [("split", _FLUSH)]
 
 
+def _long_fields():
+    """Two lines per document with a token field of 900 or 3,900 characters, cut anywhere behind its opening quote."""
+    size = F.when(F.col("doc_id") % 2 == 0, 900).otherwise(3900)
+    name = F.when(F.col("doc_id") % 3 == 0, "refresh_token").otherwise("access_token")
+    value = F.left(F.repeat(F.md5(F.col("doc_id").cast("string")), 122), size)
+    cut = (4 + F.conv(F.substring(F.md5(F.concat(F.lit("cut"), F.col("doc_id").cast("string"))), 1, 6), 16, 10).cast("int") % (size - 8)).cast("int")
+    line = F.regexp_replace("text", r"[\r\n]+", " ")
+    return [F.concat(line, F.lit(' "'), name, F.lit('":   "'), F.left(value, cut)), F.concat(F.substr(value, cut + 1), F.lit('" '), line)]
+
+
+_LONG_FIELDS = r"""sized AS (SELECT doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS t, CASE WHEN doc_id % 2 = 0 THEN 900 ELSE 3900 END AS size,
+        CASE WHEN doc_id % 3 = 0 THEN 'refresh_token' ELSE 'access_token' END AS name FROM documents),
+    cut AS (SELECT *, left(repeat(md5(doc_id::varchar), 122), size) AS value, 4 + ('0x' || left(md5('cut' || doc_id), 6))::int % (size - 8) AS cut FROM sized),
+    lines AS (SELECT 'documents' AS source, doc_id::varchar AS file, 1 AS line, 0 AS mtime_ms, t || ' "' || name || '":   "' || left(value, cut) AS text FROM cut
+        UNION ALL SELECT 'documents', doc_id::varchar, 2, 0, substr(value, cut + 1) || '" ' || t FROM cut)"""
+
+
+@query(f"WITH {_LONG_FIELDS}, " + ", ".join(f"{n} AS ({b})" for n, b in _SEAM_CTES) + " SELECT file, line, rule_id, md5(value) AS value_md5 FROM split")
+def scan_boundary_long_fields(spark, sf_dir):
+    rows = base.documents(spark, sf_dir).select(
+        F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("file"), F.posexplode(F.array(*_long_fields())).alias("i", "text"))
+    recs = rows.select("source", "file", (F.col("i") + 1).alias("line"), "text", F.lit(0).cast("bigint").alias("mtime_ms"), F.octet_length("text").alias("size_bytes"))
+    return boundary.scan_boundary(recs).select("file", "line", "rule_id", F.md5("value").alias("value_md5"))
+
+
 @query(statement(PLANT_CTES + _SEAM_CTES, "SELECT source, file, line, rule_id, md5(value) AS value_md5 FROM split"))
 def scan_boundary(spark, sf_dir):
     return boundary.scan_boundary(base.planted_lines(spark, sf_dir)).select(

@@ -5,10 +5,13 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodesieve.catalog.rules import Rule
+from lodesieve.functions.reach import MANY, blank_runs, own_characters
 from lodesieve.functions.text import bigram_fraction, iban_valid, jwt_expires_at_ms, luhn_valid, redact, version_triple
-from lodesieve.operators.boundary import scan_boundary
+from lodesieve.operators.boundary import BLOCK_LINES, scan_boundary
 from lodesieve.operators.decode import scan_decoded
 from lodesieve.operators.injection import scan_injection
 from lodesieve.operators.pii import checksum_holds, phrases_in, scan_pii
@@ -106,6 +109,46 @@ def test_split_values(records):
     assert scan_boundary(records("sk_live", "_" + "aB3dE6gH9" * 4)).count() == 1
 
 
+@pytest.mark.parametrize("size", [900, 3900])
+def test_split_fields_with_blanks(records, size):
+    """A field may be cut anywhere: what holds blanks is carried as far as its rule can reach."""
+    token = "".join(chr(97 + (k * 7 + k // 26) % 26) for k in range(size))
+    fields = [f'"access_token":   "{token}"', f'"refresh_token"\t: "{token}"']
+    texts, want = [], []
+    for field in fields:
+        for cut in (5, 14, 19, 25, 300, size // 2, size, len(field) - 5):
+            texts += ["some words before it and " + field[:cut], field[cut:] + " and some behind", ""]
+            want.append((len(texts) - 2, field))
+    assert [(r.line, r.value) for r in scan_boundary(records(*texts)).orderBy("line").collect()] == want
+
+
+def test_split_headers_keys_and_own_rules(records):
+    halves = [("x Authorization :  bea", "rer  " + "aB3." * 200 + " y"), ("-----BEGIN RSA PRI", "VATE KEY-----"), ("k: -----BEGIN OPENSSH PRIVATE ", "KEY----- end")]
+    texts = [t for pair in halves for t in (*pair, "")]
+    assert [(r.line, r.rule_id) for r in scan_boundary(records(*texts)).orderBy("line").collect()] == [
+        (1, "bearer_header"), (4, "private_key_block"), (7, "private_key_block")]
+    open_rule = Rule("note", "note", "low", r"<<[^<>]{3,}>>", "<<", word_start=False)
+    long = "any words at all " * 200
+    got = scan_boundary(records("a <<" + long, long + ">> b"), (open_rule,)).collect()
+    assert [(r.line, len(r.value)) for r in got] == [(1, 2 * len(long) + 4)]
+
+
+def test_reach_is_told_by_patterns():
+    assert [blank_runs(p) for p in (r"\bab[0-9]{3}\b", r'"a"\s*:\s*"[^"\s]{2,9}"', r"a[ b]{0,7}c", "a.*b", r"(?:x y){1,3}(?=z z z)", r"[^a]{2}")] == [0, 2, 7, MANY, 3, 2]
+    assert own_characters("a[b-d ]*(?:e|\\.)") == r"[a[b-d ]e\.]" and own_characters("a.") is None
+
+
+def test_seams_across_blocks(spark):
+    """Neighbours meet although a block ends between them, and one file is spread."""
+    lines = {BLOCK_LINES - 1: f"x {PAT[:15]}", BLOCK_LINES: f"{PAT[15:]} {KEY[:9]}", BLOCK_LINES + 1: f"{KEY[9:]} y", 3 * BLOCK_LINES: PAT[:8], 3 * BLOCK_LINES + 2: PAT[8:]}
+    rows = [("s", "f", n, lines.get(n, "plain text"), 0, 9) for n in range(1, 4 * BLOCK_LINES)]
+    df = spark.createDataFrame(rows, "source string, file string, line int, text string, mtime_ms bigint, size_bytes bigint").repartition(5)
+    assert sorted((r.line, r.rule_id) for r in scan_boundary(df).collect()) == [(BLOCK_LINES - 1, "github_pat"), (BLOCK_LINES, "aws_access_key_id")]
+    # Two versions of a line both meet the next one.
+    twice = spark.createDataFrame([("s", "f", 1, "a plain line", 0, 9), ("s", "f", 1, f"x {PAT[:15]}", 0, 9), ("s", "f", 2, f"{PAT[15:]} y", 0, 9)], df.schema)
+    assert [r.rule_id for r in scan_boundary(twice).collect()] == ["github_pat"]
+
+
 def test_files_and_records_agree(spark):
     rows = [(i, f"one {KEY}\n\ntwo {PAT[:15]}\n{PAT[15:]} three\r\nfour {base64.b64encode(('v ' + PAT + ' w').encode()).decode()}\n") for i in range(5)]
     files = as_files(spark.createDataFrame(rows, "id int, body string"), "id", "body", "t")

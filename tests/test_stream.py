@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodesieve.operators.boundary import BLOCK_LINES
 from lodesieve.operators.rollup import reexposure_counts
 from lodesieve.plans.scan import scan
 from lodesieve.streaming.watch import (baseline_of, first_seen, new_versions, read_record_stream, stream_findings, stream_metrics, watch)
@@ -73,3 +74,19 @@ def test_rewritten_files_and_first_seen(spark, tmp_path):
         lambda df, i: seen.extend(r.preview for r in df.collect())).start()
     q.awaitTermination(120)
     assert len(seen) == len(set(seen)) > 1
+
+
+def test_halves_far_apart(spark, tmp_path):
+    """Halves that are five micro-batches apart are found once, in either order, and leave no open end behind."""
+    inbox, check = str(tmp_path / "in"), str(tmp_path / "check")
+    row = lambda file, line, text: ("s", file, line, text, 0, 9)
+    batches = [[row("a", 1, f"it starts {PAT[:15]}"), row("b", 2, f"{PAT[15:]} b"), row("c", BLOCK_LINES - 1, f"c {PAT[:9]}")]]
+    batches += [[row(f"other{k}", 1, "words"), row(f"other{k}", 2, "more words")] for k in range(4)]
+    batches += [[row("a", 2, f"{PAT[15:]} ends"), row("b", 1, f"b {PAT[:15]}"), row("c", BLOCK_LINES, f"{PAT[9:]} c")], [row("a", 3, "and on")]]
+    found = []
+    for rows in batches:
+        put(spark, inbox, rows)
+        query = watch(stream_findings(read_record_stream(spark, inbox)), lambda df, i: found.extend((r.file, r.line) for r in df.collect()), check)
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert sorted(found) == sorted((f, n) for f, k in (("a", 1), ("b", 1), ("c", BLOCK_LINES - 1)) for n in (k, k + 1))

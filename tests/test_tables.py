@@ -204,3 +204,15 @@ def test_verified_values_are_kept(spark):
     rolled = rollup.rotation_rollup(found, spark.createDataFrame([], LEDGER), 0)
     assert [(r.fingerprint, r.priority, r.confirmed_dead) for r in rollup.prioritise(rolled).collect()] == [("rf1-2", -2, False), ("rf1-3", 0, False), ("rf1-1", 1, True)]
     assert rollup.pending_summary(rolled).first().confirmed_dead == 1
+
+
+def test_attribution_of_one_name_in_many_files(spark):
+    """Ten thousand files bear one bare name: a finding meets one row per rank."""
+    n = 10_000
+    t = spark.range(n).select(F.concat(F.lit("t"), F.col("id")).alias("truth_id"), F.lit("c").alias("class"), F.lit("secret").alias("kind"),
+                              F.lit("fam").alias("rule_family"), F.format_string("/home/u%05d/settings.json", "id").alias("file"), F.lit(1).alias("line"),
+                              F.concat(F.lit("value-"), F.col("id")).alias("value"), F.col("id").cast("string").alias("distinct_group"), F.lit("first").alias("exposure"))
+    f = spark.range(n).select(F.concat(F.lit("f"), F.col("id")).alias("finding_id"), F.lit("settings.json").alias("file"), F.lit(1).alias("line"),
+                              F.concat(F.lit("value-"), F.col("id")).alias("value"), F.lit("fam").alias("rule_family"))
+    got = score.attribute_findings(f, t)
+    assert got.where(F.expr("substr(finding_id, 2) = substr(truth_id, 2) and tier = 1")).count() == n == got.count()
