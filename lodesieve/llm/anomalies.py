@@ -157,7 +157,10 @@ def fit(labelled: DataFrame) -> tuple[Forest, float] | None:
     few = labelled.agg(F.sum((F.col("y") >= 0.5).cast("long")).alias("good"), F.sum((F.col("y") < 0.5).cast("long")).alias("bad")).first()
     if min(few["good"] or 0, few["bad"] or 0) < LEAST_ROWS:
         return None
-    good = labelled.where("y >= 0.5").select("rules").distinct().orderBy(F.xxhash64("rules"), "rules").limit(SAMPLE).collect()  # SAMPLE rows at most
+    # A share of the hashes first, so that tasks hand over about SAMPLE rows in all, not SAMPLE rows each.
+    share = min(1.0, 1.5 * SAMPLE / few["good"])
+    drawn = labelled.where((F.col("y") >= 0.5) & (F.pmod(F.xxhash64("rules"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("rules").distinct()
+    good = drawn.orderBy(F.xxhash64("rules"), "rules").limit(SAMPLE).collect()  # SAMPLE rows at most
     forest = Forest(np.array([row["rules"] for row in good]))
 
     def binned(pdf) -> np.ndarray:
