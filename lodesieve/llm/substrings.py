@@ -12,7 +12,8 @@ other without a branch: they are compacted to one path, and only paths are shuff
 
 All hashes have 64 bits, and edges are compared within their anchor, so two windows are taken as equal if 128 bits agree.
 Nothing is collected, and hot passages are counted before they are shuffled; documents are keyed by doc_id and text, so
-repeated rows repeat each other's windows. A null text has no words. A text below ``WINDOW`` words keeps all of them.
+repeated rows repeat each other's windows. A null text has no words. A text below ``WINDOW`` words keeps all of them. Texts of
+any length are taken whole. Other columns play no part, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -185,7 +186,9 @@ def covered(n_words: int, starts: list[int], counts: list[int], window: int = WI
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept are the words left, joined by one space."""
     spans = repeated_windows(docs, window, kmer)
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+    # Repeated rows report the same spans, which are kept once.
+    lists = (spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+             .select("_id", "_key", F.col("spans.start").alias("starts"), F.col("spans.n").alias("counts")))
     texts = docs.select("doc_id", text_key().alias("text_key"), "text")
     rows = (texts.join(lists, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key")), "left").select("doc_id", "text", "starts", "counts"))
     kind = rows.schema["doc_id"].dataType.simpleString()

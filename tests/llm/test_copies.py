@@ -235,3 +235,13 @@ def test_repeats_in_dense_text(spark):
 
 def test_no_passages(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
+
+
+def test_repeated_rows_report_their_spans_once(spark):
+    """Thousands of equal rows cost as much as their texts, and all of their words go."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    kept = substrings.remove_repeats(rows)
+    assert kept.groupBy("n_words", "n_removed", "kept").count().collect()[0].asDict() == {"n_words": 300, "n_removed": 300, "kept": "", "count": 4000}
+    spans = substrings.repeated_windows(rows).distinct().count()
+    assert spans < 60
