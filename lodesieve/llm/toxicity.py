@@ -7,8 +7,9 @@ Voters that fire together more often than their rates explain are correlated; th
 their squared correlations. The posterior labels of a bounded sample of documents, labelled or not, train a logistic regression on the
 votes and their density.
 
-A null text counts as empty: no lexicon voter fires, and it is scored like any other. Repeated rows get equal scores. Without
-labels no word becomes a voter, and every score is low.
+A null text counts as empty: no lexicon voter fires, and it is scored like any other. Repeated rows get equal scores. With fewer
+than ``LEAST_ROWS`` toxic or other labelled rows nothing is learnt: every score is low and no document is rejected. Texts of any
+length are read whole. Other columns play no part, except in ``clean``, which carries them. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from lodesieve.llm.common import saved
 from lodesieve.llm.fitting import held_out, summed, training_labels
 
 MODULUS, REMAINDER, THRESHOLD = 3, 1, 0.7
-SAMPLE = 20_000        # labelled rows that the lexicon and the classifier are fitted on, at most
+SAMPLE = 20_000        # labelled rows that the lexicon and the classifier are fitted on, at most; the classifier sees as many unlabelled ones
+LEAST_ROWS = 10        # toxic and other labelled rows without which nothing is learnt
 LEXICON = 300          # words and beginnings, at most
 LEAST_DOCS = 2         # toxic texts that a term must mark, at least
 LEAST_SHARE = 0.012    # of all toxic texts of the sample, likewise
@@ -244,20 +246,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, Linear, DataFrame]:
     docs = docs.select("doc_id", "text")
     known = saved(training_labels(labels, "toxic", MODULUS, REMAINDER))
     ids = saved(known.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE))
-    sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["label_id"]).select("text", "y")  # the broadcast has SAMPLE rows at most
+    sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["label_id"])  # the broadcast has SAMPLE rows at most
+    # One text of each id, so that a repeated id does not make the sample larger.
+    sample = sample.groupBy("label_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
     voters = Voters(mined_lexicon(saved(sample)))
     votes = saved(with_votes(docs, voters))
     seen = votes.join(known, votes["doc_id"] == known["label_id"], "left")
     patterns = saved(seen.groupBy("fired", "y").agg(F.count(F.lit(1)).alias("n")))
     model = LabelModel(voters.n).fit(patterns)
-    order = F.xxhash64(F.lit(5), "doc_id")
-    rows = seen.select("fired", "hits", "words", "y", order.alias("order")).orderBy("order", "hits", "words").limit(SAMPLE).toPandas()
+    toxic, other, unknown = seen.agg(F.count_if(F.col("y") >= 0.5), F.count_if(F.col("y") < 0.5), F.count_if(F.col("y").isNull())).first()
     linear = Linear(voters.n)
-    if len(rows) and rows["y"].notna().any():
+    if min(toxic, other) >= LEAST_ROWS:
+        rows = pd.concat([_drawn(seen.where("y is not null"), toxic + other), _drawn(seen.where("y is null"), unknown)], ignore_index=True)
         linear.fit(linear.features(rows), model.told(rows, _dense(rows["fired"], voters.n)))
     return voters, linear, votes
 
 
+def _drawn(rows: DataFrame, n: int) -> pd.DataFrame:
+    """At most ``SAMPLE`` of n rows, by a hash of their ids; a share of the hashes first, so that tasks do not hand over SAMPLE rows each."""
+    order = F.xxhash64(F.lit(5), "doc_id", "hits", "words")
+    some = rows.where(F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 1.5 * SAMPLE / max(1, n)) * (1 << 30)))
+    return some.select("fired", "hits", "words", "y", order.alias("order")).orderBy("order", "hits", "words").limit(SAMPLE).toPandas()
+
+
 def _graded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

@@ -6,6 +6,8 @@ import zlib
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lodesieve.llm import quality, toxicity
 from lodesieve.llm.common import saved
 
@@ -100,3 +102,21 @@ def test_pipeline_stages(spark, labelled, no_docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         now = saved(stage(spark, now, str(tmp_path)))
     assert now.count() == 0
+
+
+@pytest.mark.parametrize("n_labels", [4, 30])
+def test_few_labels_do_not_empty_the_corpus(spark, n_labels):
+    """Labels on few of many documents: nothing is learnt from four, and thirty reject toxic texts at most."""
+    words = F.array(*[F.lit(w) for w in ("river", "stone", "window", "letter", "garden", "market", "silver", "morning")])
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(8)) + 1).cast("int"))
+    clean = F.concat_ws(" ", *[pick(k) for k in range(30)])
+    text = F.when(F.col("id") % 2 == 1, F.concat(clean, F.lit(" you vile scum go rot "), clean)).otherwise(clean)
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 600, text).otherwise(clean).alias("text")).repartition(4)
+    docs = docs.union(docs.where("doc_id = 3"))
+    known = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:n_labels]
+    labels = spark.createDataFrame([(i, i % 2) for i in known], "doc_id bigint, toxic int")
+    found = toxicity.score_toxicity(docs, labels)
+    wrong = found.where("predicted = 1 and (doc_id >= 600 or doc_id % 2 = 0)").count()
+    assert wrong == 0 and found.count() == 12_001
+    if n_labels == 4:
+        assert found.where("predicted = 1").count() == 0
