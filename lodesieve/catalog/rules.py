@@ -15,13 +15,17 @@ when the rule ignores case).  They decide which rules a record that passed is
 matched against.  Without needles the anchor is used if it is plain text; an
 empty tuple means that the rule is always tried.
 
+``validate`` is a function from the matched value, a Column, to a boolean Column; a
+match for which it does not hold is no match.  Every pass applies it.
+
 Patterns are written with ASCII ``\\b``, ``\\d``, ``\\w`` and Unicode ``\\s``;
 :mod:`lodesieve.functions.regex` turns them into ``java.util.regex`` syntax.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,7 @@ class Rule:
     category: str = "secret"
     token: bool = False
     needles: tuple[str, ...] | None = None
+    validate: Callable | None = field(default=None, compare=False)
 
 
 def _token(id: str, label: str, confidence: str, pattern: str, anchor: str,

@@ -20,7 +20,7 @@ from lodesieve.catalog.rules import DEFAULT_RULES, Rule
 from lodesieve.functions.reach import beginning_of, ending_of
 from lodesieve.functions.regex import SPACE
 from lodesieve.functions.text import bind
-from lodesieve.operators.extract import explode_hits, hit, located_matches, passes_gate, rule_table
+from lodesieve.operators.extract import explode_hits, hit, holds, located_matches, passes_gate, rule_table
 
 # Shortest content and shortest share of a value on one side.
 MIN_CONTENT = 24
@@ -132,6 +132,8 @@ def seam_hits(tail: Column, head: Column, rules: tuple[Rule, ...] = DEFAULT_RULE
         over = F.filter(located, lambda m: (seam - m["start"] >= MIN_SHARE)
                         & (m["start"] + F.length(m["value"]) - seam >= MIN_SHARE))
         kept = F.filter(over, lambda m: ~flush(m))
+        if any(r.validate is not None for r in rules):
+            kept = F.filter(kept, lambda m: holds(m["rule_id"], m["value"], rules))
         return F.transform(kept, lambda m: hit(m["rule_id"], m["label"], m["confidence"], m["value"], "boundary"))
 
     return F.when(seam_gate(tail, head, rules), bind(F.concat(tail, head), crossing))

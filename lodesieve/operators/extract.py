@@ -20,7 +20,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.catalog.rules import CONTEXT_CHARS, DEFAULT_RULES, NOISY_RULES, Rule
@@ -144,7 +144,50 @@ def rule_hits(text: Column, rules: tuple[Rule, ...], windows: dict[str, int] | N
 
         return bind(context, lambda c: F.transform(m["values"], lambda v, i: one(c, v, i)))
 
-    return F.flatten(F.transform(matched_rules(text, rules, table), details))
+    return validated(F.flatten(F.transform(matched_rules(text, rules, table), details)), rules)
+
+
+def holds(rule_id: Column, value: Column, rules: tuple[Rule, ...]) -> Column | None:
+    """Does the rule's own check accept the value?  None if no rule has one."""
+    checks = [r for r in rules if r.validate is not None]
+    if not checks:
+        return None
+    out = F.lit(True)
+    for rule in checks:
+        out = F.when(rule_id == rule.id, F.coalesce(rule.validate(value), F.lit(False))).otherwise(out)
+    return out
+
+
+def validated(hits: Column, rules: tuple[Rule, ...]) -> Column:
+    """The hits that pass the checks of their rules."""
+    if all(r.validate is None for r in rules):
+        return hits
+    return F.filter(hits, lambda h: holds(h["rule_id"], h["value"], rules))
+
+
+def extract_matches_sql(spark: SparkSession, name: str = "extract_matches", rules: tuple[Rule, ...] = DEFAULT_RULES) -> None:
+    """Register a function for SQL: ``SELECT ... FROM (SELECT extract_matches(text) AS found FROM t), LATERAL explode(found) AS e(m)``.
+
+    It returns an array of ``rule_id, label, confidence, value``, one per match, or NULL.
+    The body is one expression of built-in functions, which the optimizer puts into the
+    query around it.  Rules with a check of their own need the DataFrame API.
+    """
+    if any(r.validate is not None for r in rules):
+        raise ValueError("rules with a check cannot be a SQL function")
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    rows = json.dumps([{"rule_id": r.id, "label": r.label, "confidence": r.confidence, "ignore_case": r.ignore_case, "needles": needles_of(r),
+                        "regex": rule_regex(r)} for r in rules])
+    kind = "array<struct<rule_id:string,label:string,confidence:string,ignore_case:boolean,needles:array<string>,regex:string>>"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(input STRING)
+        RETURNS ARRAY<STRUCT<rule_id: STRING, label: STRING, confidence: STRING, value: STRING>>
+        RETURN CASE WHEN input RLIKE {quoted(anchor_union(rules))} THEN flatten(transform(
+            filter(from_json({quoted(rows)}, '{kind}'), r -> size(r.needles) = 0 OR exists(r.needles,
+                n -> contains(CASE WHEN r.ignore_case THEN lower(input) ELSE input END, n))),
+            r -> transform(regexp_extract_all(input, r.regex, 0), v -> named_struct(
+                'rule_id', r.rule_id, 'label', r.label, 'confidence', r.confidence, 'value', v)))) END""")
 
 
 def explode_hits(records: DataFrame, hits: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 from itertools import groupby
 from collections.abc import Iterable
 
@@ -24,13 +25,8 @@ WORDLIST_SIZE = 2048
 
 def pii_hits(text: Column, rules: tuple[Rule, ...] = PII_RULES) -> Column:
     """Array of hits whose checksum holds; an invalid one is simply no match."""
-    def holds(hit: Column) -> Column:
-        out = F.lit(True)
-        for rule_id, check in VALIDATORS.items():
-            out = F.when(hit["rule_id"] == rule_id, check(hit["value"])).otherwise(out)
-        return out
-
-    return F.filter(rule_hits(text, rules, pass_name="pii"), holds)
+    checked = tuple(r if r.validate else replace(r, validate=VALIDATORS.get(r.id)) for r in rules)
+    return rule_hits(text, checked, pass_name="pii")
 
 
 def scan_pii(records: DataFrame, rule_ids: Iterable[str] | None = None, wordlist: list[str] | None = None) -> DataFrame:

@@ -9,20 +9,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodesieve.catalog.rules import (CHATML_RULE, DEFAULT_RULES, NOISY_RULES, OVERRIDE_PHRASE_RULE, PII_RULES,
                                      SEED_PHRASE_RULE, ZERO_WIDTH_RULE, Rule)
 from lodesieve.functions.text import basename, fingerprint, jwt_expires_at_ms, redact
-from lodesieve.operators.boundary import both_lines, record_seams, seam_array, seam_gate, seam_hits, straddling
+from lodesieve.operators.boundary import both_lines, content_of, record_seams, seam_array, seam_gate, seam_hits, seam_windows, straddling
 from lodesieve.operators.decode import DECODE_GATE, decoded_hits
 from lodesieve.operators.extract import explode_hits, passes_gate, rule_hits
 from lodesieve.operators.injection import injection_hits
 from lodesieve.operators.pairing import PAIR_WINDOWS, expand_pairs, with_pairs
 from lodesieve.operators.pii import narrow_seed_phrases, pii_hits
 from lodesieve.operators.suppress import mark_suppressed
-from lodesieve.sources.records import lines_of
+from lodesieve.session import checkpointed
+from lodesieve.sources.records import lines_of, read_marked_lines, split_starts, with_line_numbers
 
 FINDING_COLUMNS = ("rule_id", "label", "confidence", "suppressed_reason", "category", "pass", "source", "file", "rel_file",
                    "line", "preview", "mtime_ms", "encoding", "span_lines", "paired", "paired_secret_preview",
@@ -144,6 +146,28 @@ def scan_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
     return findings_of(expanded_matches(all_matches_of_files(files, options), options.include_suppressed))
 
 
+def scan_text_files(spark: SparkSession, paths: str | list[str], source: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Findings of text files of any size, with true line numbers.
+
+    Files are scanned split by split.  A first, light pass counts the lines of each split
+    and keeps its first and last line; only findings, and the seams between splits, meet
+    that table.  No line of text is shuffled.
+    """
+    marked = read_marked_lines(spark, paths, source)
+    splits = checkpointed(split_starts(marked))
+    text = F.col("text")
+    inside = explode_hits(marked.where(record_gate(text, options)), record_hits(text, options))
+    following = F.lead("first_text").over(W.partitionBy("source", "file").orderBy("split_start"))
+    edges = (splits.withColumn("next_text", following).where((F.length("last_text") > 0) & (F.length("next_text") > 0))
+             .select("source", "file", F.col("last").alias("line"), "mtime_ms", F.explode(F.array(F.struct(
+                 seam_windows(content_of(F.col("last_text")), options.secret_rules)["tail"].alias("tail"),
+                 seam_windows(content_of(F.col("next_text")), options.secret_rules)["head"].alias("head")))).alias("w"))
+             .select("source", "file", "line", "mtime_ms", "w.*"))
+    over = straddling(record_seams(marked, options.secret_rules).unionByName(edges), options.secret_rules)
+    matches = classify(with_line_numbers(inside.unionByName(over), splits), options)
+    return findings_of(expanded_matches(matches, options.include_suppressed))
+
+
 def suppressed_count(matches: DataFrame) -> DataFrame:
     """How many matches were suppressed, partners of pairs included; one row."""
     paired = with_pairs(matches)

@@ -100,6 +100,41 @@ def read_lines(spark: SparkSession, paths: str | list[str], source: str, whole_f
                     "text", "mtime_ms", "size_bytes"))
 
 
+def read_marked_lines(spark: SparkSession, paths: str | list[str], source: str) -> DataFrame:
+    """Text files as records whose ``line`` is a mark: consecutive inside a split, numbered later.
+
+    Nothing is joined and no line moves.  What is found keeps its mark, and
+    ``with_line_numbers`` turns marks into numbers for these few rows alone.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.text(paths).select(
+        F.lit(source).alias("source"), *_file_columns(), F.col("_metadata.file_block_start").alias("split_start"),
+        F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
+
+
+_PART_BITS = 33  # of a mark: the position inside a partition
+
+
+def split_starts(marked: DataFrame) -> DataFrame:
+    """``(file, part, first, last, before, first_text, last_text)`` of each split: one small row per split.
+
+    ``before`` is the number of lines of the file in earlier splits.  A partition holds one
+    split of a file at most: all but the last one fill a partition.
+    """
+    splits = marked.groupBy("source", "file", "mtime_ms", F.shiftright("line", _PART_BITS).alias("part")).agg(
+        F.min("line").alias("first"), F.max("line").alias("last"), F.count("*").alias("n"),
+        F.min_by("text", "line").alias("first_text"), F.max_by("text", "line").alias("last_text"), F.min("split_start").alias("split_start"))
+    earlier = F.sum("n").over(W.partitionBy("source", "file").orderBy("split_start").rowsBetween(W.unboundedPreceding, -1))
+    return splits.withColumn("before", F.coalesce(earlier, F.lit(0)))
+
+
+def with_line_numbers(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Marks of ``rows`` to line numbers, by an equi-join with the splits' small table."""
+    starts = splits.select(F.col("file").alias("_file"), F.col("part").alias("_part"), (F.col("before") - F.col("first") + 1).alias("_shift"))
+    same = (F.col("file") == F.col("_file")) & (F.shiftright("line", _PART_BITS) == F.col("_part"))
+    return rows.join(starts, same).withColumn("line", (F.col("line") + F.col("_shift")).cast("int")).drop("_file", "_part", "_shift")
+
+
 def explode_json_documents(df: DataFrame, col: str = "text", items: str = "history") -> DataFrame:
     """Whole-file JSON sessions to records: the document without its items first, then one record per item.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from lodesieve.operators.pairing import PAIR_WINDOWS
 from lodesieve.operators.plant import planted_text, with_plants
 from lodesieve.operators.suppress import mark_suppressed
 from lodesieve.catalog.rules import DEFAULT_RULES, NOISY_RULES
-from lodesieve.plans.scan import expanded_matches, findings_of
+from lodesieve.plans.scan import ScanOptions, expanded_matches, findings_of, scan_files
+from lodesieve.session import shared_folder
+from lodesieve.sinks.findings import save_findings
 from lodesieve.sources.records import as_files, explode_lines, spread
 
 # A fixed clock: ages and expiries must not depend on the day a query runs.
@@ -54,6 +58,16 @@ def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_of(expanded_matches(raw_matches(spark, sf_dir), False))
 
 
+# Every pass there is; seed phrases need a word list and stay out.
+ALL_PASSES = ScanOptions(include_noisy=True, include_pii=True, include_injection=True)
+
+
+def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all passes over the planted files, scanned once and written; rollups and reports read the table."""
+    name = f"findings_{uuid.uuid4().hex}"
+    return save_findings(scan_files(planted_files(spark, sf_dir), ALL_PASSES), name, f"{shared_folder(spark)}/{name}")
+
+
 def ledger_for(findings: DataFrame) -> DataFrame:
     """A ledger that settles part of the findings, by the last digit of the fingerprint."""
     digit = F.right("fingerprint", F.lit(1))

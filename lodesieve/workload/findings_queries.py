@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from lodesieve.functions.text import fingerprint, redact
 from lodesieve.operators import boundary, decode, extract, images, injection, pairing, pii, plant, suppress
 from lodesieve.operators import redact as masking
 from lodesieve.plans import scan as plan
+from lodesieve.session import checkpointed, shared_folder
 from lodesieve.sources import records as src
 from lodesieve.workload import base
 from lodesieve.workload import oracle as O
@@ -71,15 +73,15 @@ def explode_json_documents(spark, sf_dir):
     return src.explode_json_documents(_sessions(spark, sf_dir)).select("file", "line", "text")
 
 
-@query("""SELECT event_id::varchar AS file, 1 AS line, props AS text FROM events WHERE event_id % 3 > 0
+@query("""SELECT event_id::varchar AS file, 1 AS line, props AS text FROM events
     UNION ALL SELECT event_id::varchar, 2, '{"note":"a } in text","n":' || event_id || '}' FROM events WHERE event_id % 3 > 0
     UNION ALL SELECT event_id::varchar, 3, '{"last":{"deep":' || user_id || '}}' FROM events WHERE event_id % 3 = 1""")
 def salvage_json_objects(spark, sf_dir):
-    # Two of three files hold an array, one of these cut off inside its last object.
-    events = base.table(spark, sf_dir, "events").where("event_id % 3 > 0")
-    last = F.concat(F.lit('{"last":{"deep":'), F.col("user_id").cast("string"))
-    text = F.concat(F.lit("["), "props", F.lit(', {"note":"a } in text","n":'), F.col("event_id").cast("string"), F.lit("}, "),
-                    last, F.when(F.col("event_id") % 3 == 1, "}}]").otherwise(""))
+    # A third is whole, a third is cut off inside its last object, a third inside a string of its second one.
+    events = base.table(spark, sf_dir, "events")
+    whole = F.concat(F.lit('text","n":'), F.col("event_id").cast("string"), F.lit('}, {"last":{"deep":'), F.col("user_id").cast("string"))
+    rest = F.when(F.col("event_id") % 3 == 0, "te").when(F.col("event_id") % 3 == 1, F.concat(whole, F.lit("}}]"))).otherwise(whole)
+    text = F.concat(F.lit("["), "props", F.lit(', {"note":"a } in '), rest)
     files = events.select(F.lit("s").alias("source"), F.col("event_id").cast("string").alias("file"), text.alias("text"),
                           F.lit(0).cast("bigint").alias("mtime_ms"), F.lit(0).cast("bigint").alias("size_bytes"))
     return src.salvage_json_objects(files).select("file", "line", "text")
@@ -164,7 +166,7 @@ def binary_as_text(spark, sf_dir):
 
 @query(f"WITH {_DOC_LINES} SELECT file, (line + 1)::int AS line, text FROM doc_lines WHERE length(text) > 0")
 def decode_base64_lines(spark, sf_dir):
-    docs = src.as_files(base.documents(spark, sf_dir), "doc_id", "text", F.col("source")).where(F.length("text") > 0)
+    docs = src.as_files(base.documents(spark, sf_dir), "doc_id", "text", F.col("source"))
     # One base64 line must stay one line, so the line breaks of long encodings go.
     encoded = F.array_join(F.transform(src.lines_of(F.col("text")), lambda t: F.translate(F.base64(t.cast("binary")), "\r\n", "")), "\n")
     files = docs.withColumn("text", F.concat(F.lit("EVENTS v1\n"), encoded))
@@ -343,6 +345,14 @@ def randomness_of_words(spark, sf_dir):
     return words.groupBy("file").agg(F.count("*").alias("words"), F.count_if(is_random(F.col("word"))).alias("random_words"))
 
 
+@query(statement(MATCHES, "SELECT file, line, rule_id, confidence, md5(value) AS value_md5 FROM m"))
+def extract_matches_in_sql(spark, sf_dir):
+    extract.extract_matches_sql(spark)
+    base.planted_lines(spark, sf_dir).createOrReplaceTempView("planted_lines")
+    return spark.sql("SELECT file, line, m.rule_id, m.confidence, md5(m.value) AS value_md5 FROM "
+                     "(SELECT file, line, extract_matches(text) AS found FROM planted_lines), LATERAL explode(found) AS e(m)")
+
+
 # ---------------------------------------------------------------- decoding and seams
 
 _DECODED = PLANT_CTES + [
@@ -371,28 +381,32 @@ _WITH_CONTENT = ("contents", f"SELECT source, file, line, mtime_ms, CASE WHEN le
                  f"FROM (SELECT *, {_CONTENT} AS c FROM lines) WHERE length(text) > 0")
 
 
-@query(statement(PLANT_CTES + [_WITH_CONTENT], "SELECT file, line, md5(content) AS content_md5 FROM contents"))
+@query(statement(PLANT_CTES, f"SELECT file, line, md5(CASE WHEN length(c) >= 24 THEN c ELSE text END) AS content_md5 FROM (SELECT *, {_CONTENT} AS c FROM lines)"))
 def with_content(spark, sf_dir):
-    recs = base.planted_lines(spark, sf_dir).where(F.length("text") > 0)
+    recs = base.planted_lines(spark, sf_dir)
     return boundary.with_content(recs).select("file", "line", F.md5("content").alias("content_md5"))
 
 
-_SEAM_CTES = [
-    _WITH_CONTENT,
-    # Whole lines on both sides: the windows of the operator must lose nothing.
-    ("seams", """SELECT a.source, a.file, a.line, a.mtime_ms, a.content AS tail, b.content AS head, a.content || b.content AS text
-        FROM contents a JOIN contents b ON a.source = b.source AND a.file = b.file AND a.line + 1 = b.line"""),
-    ("m", O.all_rules(R.DEFAULT_RULES, "seams", "source, file, line, mtime_ms, tail, head")),
-    ("located", "SELECT *, strpos(text, value) - 1 AS s, strpos(text, value) - 1 + length(value) AS e, length(tail) AS seam FROM m"),
-    ("crossing", "SELECT * FROM located WHERE seam - s >= 4 AND e - seam >= 4"),
-]
-# A rule that already matches completely on one side, flush with the seam, did not need the other side.
-_FLUSH = " UNION ALL ".join(
-    f"""SELECT * FROM crossing WHERE rule_id = {O.quote(r.id)}
-        AND NOT coalesce(ends_with(tail, {O.rule_values(r, 'tail')}[-1]) AND length({O.rule_values(r, 'tail')}[-1]) = seam - s, false)
-        AND NOT coalesce(starts_with(head, {O.rule_values(r, 'head')}[1]) AND length({O.rule_values(r, 'head')}[1]) = e - seam, false)"""
-    for r in R.DEFAULT_RULES)
-_SEAM_CTES = _SEAM_CTES + [("split", _FLUSH)]
+def seam_ctes(rules):
+    # A rule that already matches completely on one side, flush with the seam, did not need the other side.
+    flush = " UNION ALL ".join(
+        f"""SELECT * FROM crossing WHERE rule_id = {O.quote(r.id)}
+            AND NOT coalesce(ends_with(tail, {O.rule_values(r, 'tail')}[-1]) AND length({O.rule_values(r, 'tail')}[-1]) = seam - s, false)
+            AND NOT coalesce(starts_with(head, {O.rule_values(r, 'head')}[1]) AND length({O.rule_values(r, 'head')}[1]) = e - seam, false)"""
+        for r in rules)
+    return [
+        _WITH_CONTENT,
+        # Whole lines on both sides: the windows of the operator must lose nothing.
+        ("seams", """SELECT a.source, a.file, a.line, a.mtime_ms, a.content AS tail, b.content AS head, a.content || b.content AS text
+            FROM contents a JOIN contents b ON a.source = b.source AND a.file = b.file AND a.line + 1 = b.line"""),
+        ("m", O.all_rules(rules, "seams", "source, file, line, mtime_ms, tail, head")),
+        ("located", "SELECT *, strpos(text, value) - 1 AS s, strpos(text, value) - 1 + length(value) AS e, length(tail) AS seam FROM m"),
+        ("crossing", "SELECT * FROM located WHERE seam - s >= 4 AND e - seam >= 4"),
+        ("split", flush),
+    ]
+
+
+_SEAM_CTES = seam_ctes(R.DEFAULT_RULES)
 
 
 def _long_fields():
@@ -561,14 +575,18 @@ def scan_injection_chatml(spark, sf_dir):
     return injection.scan_injection(base.planted_lines(spark, sf_dir)).where("rule_id = 'chatml_special_token'").select("file", "line", "value")
 
 
-@query(statement(PLANT_CTES + [
+_HIDDEN = [
     ("chars", "SELECT file, line, text, generate_subscripts(string_split(text, ''), 1) AS i, unnest(string_split(text, '')) AS c FROM lines "
               r"WHERE regexp_matches(text, '[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{E0000}-\x{E007F}]')"),
     ("bad", """SELECT *, ord(c) AS cp FROM chars WHERE ord(c) IN (8203, 8288) OR ord(c) BETWEEN 917504 AND 917631 OR (ord(c) = 65279 AND i > 1)
         OR (ord(c) IN (8204, 8205) AND coalesce(ord(nullif(substr(text, (i - 1)::int, 1), '')), 0) <= 127
             AND coalesce(ord(nullif(substr(text, (i + 1)::int, 1), '')), 0) <= 127)"""),
     ("counted", "SELECT file, line, cp, min(i) AS first, count(*) AS n FROM bad GROUP BY ALL"),
-], "SELECT file, line, string_agg('U+' || printf('%04X', cp) || ' ×' || n, ', ' ORDER BY first) AS summary FROM counted GROUP BY file, line"))
+]
+_HIDDEN_SUMMARY = "string_agg('U+' || printf('%04X', cp) || ' ×' || n, ', ' ORDER BY first)"
+
+
+@query(statement(PLANT_CTES + _HIDDEN, f"SELECT file, line, {_HIDDEN_SUMMARY} AS summary FROM counted GROUP BY file, line"))
 def scan_injection_zero_width(spark, sf_dir):
     found = injection.scan_injection(base.planted_lines(spark, sf_dir)).where("rule_id = 'zero_width_hidden_instruction'")
     return found.select("file", "line", F.col("value").alias("summary"))
@@ -683,11 +701,82 @@ def full_scan_sql() -> str:
 _SCAN_COLS = ("rule_id", "confidence", "pass", "source", "file", "line", "preview", "encoding", "fingerprint")
 
 
+def all_findings_ctes() -> list[tuple[str, str]]:
+    """All passes with all options: ``findings`` also holds decoded and split values, personal data and injection markers."""
+    whole = full_scan_ctes()
+    whole = [(n, b) for n, b in whole if n not in ("extra", "everything")]
+    at = next(i for i, (n, _) in enumerate(whole) if n == "m")
+    whole[at] = FINDINGS[at]  # with the broad rules
+    whole = [("raw_part" if n == "findings" else n, b) for n, b in whole]
+    secrets = seam_ctes(R.DEFAULT_RULES + R.NOISY_RULES)
+    first = next(i for i, (n, _) in enumerate(whole) if n == "contents")
+    whole = whole[:first] + [(f"seam_{n}" if n == "m" else n, b.replace("FROM m", "FROM seam_m")) for n, b in secrets]
+    inner = ", ".join(f"{n} AS ({b})" for n, b in O.marked("checked"))
+    personal = f"WITH m AS ({O.all_rules(R.PII_RULES)}), {_PII_CHECKED}, {inner} SELECT * FROM marked WHERE suppressed_reason IS NULL"
+    hidden = ", ".join(f"{n} AS ({b.replace('SELECT file, line', 'SELECT source, mtime_ms, file, line')})" for n, b in _HIDDEN)
+    z = R.ZERO_WIDTH_RULE
+    marks = f"""WITH m AS ({O.all_rules((R.CHATML_RULE, R.OVERRIDE_PHRASE_RULE))}), {hidden}
+        SELECT source, file, line, mtime_ms, rule_id, label, confidence, value FROM m
+        UNION ALL SELECT source, file, line, mtime_ms, {O.quote(z.id)}, {O.quote(z.label)}, {O.quote(z.confidence)}, {_HIDDEN_SUMMARY}
+        FROM counted GROUP BY source, file, line, mtime_ms"""
+    return whole + [
+        ("personal", personal), ("marks", marks),
+        ("extra", f"""SELECT *, {O.REASON} AS suppressed_reason FROM (
+            SELECT DISTINCT source, file, line, mtime_ms, rule_id, label, 'high' AS confidence, value, 'decoded' AS pass, NULL AS before,
+                CASE WHEN regexp_matches(run, '[-_]') THEN 'base64url' ELSE 'base64' END AS encoding FROM dec_m
+            UNION ALL SELECT source, file, unnest([line, line + 1])::int, mtime_ms, rule_id, label, confidence, value, 'boundary', NULL, NULL FROM split)"""),
+        ("found", f"""SELECT rule_id, label, confidence, pass, source, file, line, mtime_ms, value, preview, encoding, paired_secret_preview, paired_access_key_preview,
+                paired_other_preview, jwt_expires_at_ms FROM (SELECT *, NULL AS encoding FROM raw_part)
+            UNION ALL SELECT rule_id, label, confidence, pass, source, file, line, mtime_ms, value, {O.redact('value')}, encoding, NULL, NULL, NULL, NULL
+                FROM extra WHERE suppressed_reason IS NULL
+            UNION ALL SELECT rule_id, label, confidence, 'pii', source, file, line, mtime_ms, value, {O.redact('value')}, NULL, NULL, NULL, NULL, NULL FROM personal
+            UNION ALL SELECT rule_id, label, confidence, 'injection', source, file, line, mtime_ms, value, {O.redact('value')}, NULL, NULL, NULL, NULL, NULL FROM marks"""),
+        ("findings", f"SELECT *, {O.fingerprint('rule_id', 'preview', 'file')} AS fingerprint FROM found"),
+    ]
+
+
+_TABLE_COLS = ("rule_id", "label", "confidence", "pass", "source", "file", "line", "preview", "mtime_ms", "paired_secret_preview",
+               "paired_access_key_preview", "paired_other_preview", "jwt_expires_at_ms", "encoding", "fingerprint")
+
+
+@query(statement(all_findings_ctes(), f"SELECT {', '.join(_TABLE_COLS)} FROM findings"))
+def saved_findings(spark, sf_dir):
+    return base.findings_table(spark, sf_dir).select(*_TABLE_COLS)
+
+
 @query(full_scan_sql())
 def scan_files(spark, sf_dir):
     return plan.scan_files(base.planted_files(spark, sf_dir)).select(*_SCAN_COLS)
 
 
+def _as_text_files() -> list[tuple[str, str]]:
+    """The default scan with ``lines`` numbered over a file of a hundred documents."""
+    out = []
+    for name, body in full_scan_ctes():
+        if name == "lines":
+            out += [("own_lines", body), ("lines", """SELECT 'text' AS source, (file::bigint // 100)::varchar AS file, row_number() OVER (
+                PARTITION BY file::bigint // 100 ORDER BY file::bigint, line)::int AS line, text, 0 AS mtime_ms FROM own_lines""")]
+        else:
+            out.append((name, body))
+    return out
+
+
+@query(statement(_as_text_files(), "SELECT file, line, rule_id, confidence, pass, preview, encoding FROM everything"))
+def scan_text_files(spark, sf_dir):
+    """Planted documents written as text files, a hundred to a file, and read in splits that are smaller than a file."""
+    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    lines = base.planted_lines(spark, sf_dir).withColumn("doc", F.col("file").cast("bigint")).withColumn("bucket", F.floor(F.col("doc") / 100))
+    placed = lines.repartition("bucket").sortWithinPartitions("bucket", "doc", "line").select("bucket", F.col("text").alias("value"))
+    placed.write.partitionBy("bucket").text(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        found = checkpointed(plan.scan_text_files(spark, folder, "text"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.select(F.regexp_extract("file", r"bucket=(\d+)/", 1).alias("file"), "line", "rule_id", "confidence", "pass", "preview", "encoding")
+
+
 @query(full_scan_sql())
 def scan_records(spark, sf_dir):
     return plan.scan(base.planted_lines(spark, sf_dir)).select(*_SCAN_COLS)
