@@ -9,11 +9,14 @@ when first met, like those of a lazy DFA, and dropped together when there are to
 
 No piece of the model goes on after a blank that follows a letter, so reading a blank there always leads to the same state.
 A text is cut into chunks anywhere; the map of a chunk sends an entry state to an exit state and a count. It is the part
-before its first such blank, kept to be run from the entry state, and a constant count and exit after it. Chunks are spread
-as rows, and their maps are composed one after the other in order.
+before its first such blank, kept to be run from the entry state, and a constant count and exit after it. Two neighbouring
+maps compose to one of the same form, in any grouping, so the maps of a long text meet in a parallel prefix tree: ``FAN_IN``
+neighbours a round, as rows that Spark spreads, until one map is left. A text of one chunk is counted where it is read.
+A stretch without blanks is carried as its own text, which is its map from all entry states in the shortest form.
 
 A null text counts as empty: no token. Repeated rows are counted one by one. Strings of control tokens inside a text are
-plain text; no normalisation takes place, and a blank is put in front, as the model says.
+plain text; no normalisation takes place, and a blank is put in front, as the model says. Other columns play no part,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodesieve.llm.common import saved
+
 BLANK = "▁"
 CHUNK = 1 << 16        # characters
+FAN_IN = 16            # neighbouring maps that are composed in one round
 LIMIT = 4096           # tokens; longer documents are marked
 MAX_STATES = 300_000   # compiled ones that a worker holds
 MAX_WORDS = 400_000    # whose transitions a worker holds
@@ -188,19 +194,28 @@ def chunk_map(machine: Transducer, text: str, first: bool) -> tuple[str, int, st
     return text[:cut], sum(map(machine.words.__getitem__, _UNITS(text, cut, last))), text[last:]
 
 
-def composed(machine: Transducer, maps: list[tuple[str, int, str | None]]) -> int:
-    """The count of all chunks of a text, in order; the first one has an empty head."""
-    state, total = machine.start, 0
-    for head, count, tail in maps:
-        state, change = machine.run(state, head)
-        total += change + count
-        if tail is not None:
-            state, change = machine.run(machine.start, tail)
-            total += change
-    return total
+def joined(machine: Transducer, maps: list[tuple[str, int, str | None]]) -> tuple[str, int, str | None]:
+    """The map of neighbouring chunks, in order."""
+    head, count, tail = "", 0, None
+    for h, c, t in maps:
+        if tail is None:
+            head, count, tail = head + h, c, t
+        elif t is None:
+            tail += h
+        else:
+            state, first = machine.run(machine.start, tail)
+            count += first + machine.run(state, h)[1] + c
+            tail = t
+    return head, count, tail
+
 
+def total(machine: Transducer, whole: tuple[str, int, str | None]) -> int:
+    """The count of a whole text; what stands before its first blank is run from the start."""
+    head, count, tail = whole
+    return machine.run(machine.start, head)[1] + count + (0 if tail is None else machine.run(machine.start, tail)[1])
 
-def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
+
+def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs; model: path of a sentencepiece BPE model on every node."""
     ready = F.translate(F.concat(F.lit(BLANK), F.col("text")), " ", BLANK)
     length = F.length(ready)
@@ -208,24 +223,43 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                        F.when(F.length("text") > 0, ready).otherwise("").alias("text"), starts.alias("starts"))
     one = F.posexplode(F.transform("starts", lambda s: F.substr(F.col("text"), s + 1, F.lit(chunk))))
-    chunks = rows.select("doc_id", "row", "n_bytes", one.alias("at", "part"))
+    chunks = rows.select("doc_id", "row", "n_bytes", F.size("starts").alias("chunks"), one.alias("at", "part"))
     kind = chunks.schema["doc_id"].dataType.simpleString()
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chunk_map(_transducer(model), part.as_py(), at.as_py() == 0) for part, at in zip(batch.column("part"), batch.column("at"), strict=True)]
-            heads, counts, tails = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(heads, pa.string()), pa.array(counts, pa.int64()), pa.array(tails, pa.string())],
-                                             names=["doc_id", "row", "n_bytes", "at", "head", "count", "tail"])
-
-    mapped = chunks.mapInArrow(maps, f"doc_id {kind}, row bigint, n_bytes bigint, at int, head string, count bigint, tail string")
-    scanned = mapped.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"),
-                                        F.array_sort(F.collect_list(F.struct("at", "head", "count", "tail"))).alias("maps"))
+            found = []
+            for n, at, part in zip(batch.column("chunks").to_pylist(), batch.column("at").to_pylist(), batch.column("part"), strict=True):
+                machine = _transducer(model)
+                own = chunk_map(machine, part.as_py(), at == 0)
+                found.append((total(machine, own), None, None, None) if n == 1 else (None, *own))
+            tokens, heads, counts, tails = zip(*found, strict=True) if found else ((), (), (), ())
+            made = [pa.array(x, k) for x, k in ((tokens, pa.int64()), (heads, pa.string()), (counts, pa.int64()), (tails, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], names=["doc_id", "row", "n_bytes", "chunks", "at", "n_tokens", "head", "count", "tail"])
+
+    # Saved, so that a row number is that of one evaluation.
+    mapped = saved(chunks.mapInArrow(maps, f"doc_id {kind}, row bigint, n_bytes bigint, chunks int, at int, n_tokens bigint, head string, count bigint, tail string"))
+    done = mapped.where("chunks = 1").select("doc_id", "n_bytes", "n_tokens")
+    now = mapped.where("chunks > 1").select("doc_id", "row", "n_bytes", "at", F.struct("head", "count", "tail").alias("map"))
+    longest = mapped.agg(F.max("chunks")).first()[0] or 1
+
+    def read(column: pd.Series) -> list:
+        return [[(m["head"], m["count"], m["tail"]) for m in some] for some in column]
+
+    @F.pandas_udf("head string, count bigint, tail string")
+    def compose(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([joined(_transducer(model), some) for some in read(column)], columns=["head", "count", "tail"]).astype({"count": "int64"})
 
     @F.pandas_udf("bigint")
-    def compose(texts: pd.Series) -> pd.Series:
-        machine = _transducer(model)
-        return pd.Series([composed(machine, [(m["head"], m["count"], m["tail"]) for m in maps_of]) for maps_of in texts], dtype="int64")
-
-    n_tokens = compose("maps")
-    return scanned.select("doc_id", "n_bytes", n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    def finish(column: pd.Series) -> pd.Series:
+        return pd.Series([total(_transducer(model), joined(_transducer(model), some)) for some in read(column)], dtype="int64")
+
+    while longest > 1:
+        grouped = now.groupBy("row", F.floor(F.col("at") / fan_in).cast("int").alias("at")).agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.transform(F.array_sort(F.collect_list(F.struct("at", "map"))), lambda x: x["map"]).alias("maps"))
+        longest = -(-longest // fan_in)
+        if longest > 1:
+            now = saved(grouped.select("doc_id", "row", "n_bytes", "at", compose("maps").alias("map")))
+        else:
+            done = done.union(grouped.select("doc_id", "n_bytes", finish("maps").alias("n_tokens")))
+    return done.withColumn("over_limit", F.col("n_tokens") > limit)
