@@ -7,8 +7,12 @@ Buckets of a source do this first; what stays open, one document a bucket, meets
 and the last of a source is rounded by itself. So a source misses its target by less than one document.
 
 Documents go from long to short, so that the last one is short as a rule. All draws are digests of seed and id, and
-buckets depend on ids alone: reruns agree. Hot sources have more buckets, each of bounded size.
-A null text has no words and takes none; a null source is a source of its own, last; no rows give no rows.
+buckets depend on ids alone: reruns agree. Hot sources have more buckets, each of ``BUCKET`` different documents on average.
+
+Rows that agree in doc_id, source and text are one class, which asks for the copies of all its rows together and is rounded as
+one document; its copies are dealt out evenly again, so no row is taken more often than ``CAP`` times, and no bucket grows
+with repeated rows. A null text has no words and takes none; a null source is a source of its own, last; no rows give no rows.
+Texts of any length are counted whole; ``mix`` carries all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodesieve.llm.common import WORD, attached, numbered, saved, text_key
+from lodesieve.llm.common import WORD, id_key, numbered, packed, saved, text_key
 
 BUCKET = 4096   # documents that meet in a bucket, on average
 FAN_IN = 256    # open documents that meet in a bucket of the next level, at most
 CAP = 3         # no document is taken more often
+DEALT = 1 << 16 # rows of a class that one task deals out at once
 _EPS = 1e-9
 
 
@@ -102,15 +108,16 @@ def _meet(seed: int, level: int, last: bool):
     return run
 
 
-def copies(sizes: DataFrame, seed: int = 11) -> DataFrame:
-    """The rows of ``sizes(doc_id, source, size, text_key)`` with source_size, target and copies."""
+def class_copies(sizes: DataFrame, seed: int = 11) -> DataFrame:
+    """(doc_id, source, text_key, size, n, source_size, target, copies) of each class of equal rows; n rows take copies in all."""
     targets = source_targets(sizes)
-    asked = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    classes = sizes.groupBy("doc_id", "source", "size", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    asked = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("n")
     near = F.floor(asked + _EPS)
     share = F.when(asked - near < _EPS, 0.0).otherwise(asked - near)
     ids = sizes.schema["doc_id"].dataType  # as text on the way through pandas, where a null would make ids inexact
-    joined = (sizes.withColumn("doc_id", F.col("doc_id").cast("string")).join(targets.withColumnRenamed("source", "_source"), sizes["source"].eqNullSafe(F.col("_source"))).drop("_source")
-              .withColumn("whole", near.cast("int")).withColumn("share", F.when(F.col("size") > 0, share).otherwise(0.0))
+    joined = (classes.withColumn("doc_id", F.col("doc_id").cast("string")).join(targets.withColumnRenamed("source", "_source"), classes["source"].eqNullSafe(F.col("_source"))).drop("_source")
+              .withColumn("whole", near.cast("long")).withColumn("share", F.when(F.col("size") > 0, share).otherwise(0.0))
               .withColumn("item", F.xxhash64(F.lit(seed), "doc_id", "text_key"))
               .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET))
               .withColumn("bucket", F.pmod(F.xxhash64("item"), F.col("buckets"))).drop("n_docs"))
@@ -125,15 +132,51 @@ def copies(sizes: DataFrame, seed: int = 11) -> DataFrame:
             break
         now = now.where("share > 0 and share < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
         width, level = math.ceil(width / FAN_IN), level + 1
-    return done.select(F.col("doc_id").cast(ids).alias("doc_id"), "source", "text_key", "size", "source_size", "target", (F.col("whole") + F.col("share").cast("int")).alias("copies"))
+    return done.select(F.col("doc_id").cast(ids).alias("doc_id"), "source", "text_key", "size", "n", "source_size", "target", (F.col("whole") + F.col("share").cast("int")).alias("copies"))
+
+
+def _of_row(i: Column) -> Column:
+    """The copies of the i-th row of a class."""
+    each = F.floor(F.col("copies") / F.col("n"))
+    return (each + (i < F.col("copies") - each * F.col("n")).cast("long")).cast("int")
+
+
+def copies(sizes: DataFrame, seed: int = 11) -> DataFrame:
+    """The rows of ``sizes(doc_id, source, size, text_key)`` with source_size, target and copies."""
+    classes = saved(class_copies(sizes, seed))
+    columns = ["doc_id", "source", "text_key", "size", "source_size", "target"]
+    few = classes.where(F.col("n") <= DEALT).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # A class with very many rows is dealt out by several tasks.
+    blocks = classes.where(F.col("n") > DEALT).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DEALT)))).repartition("doc_id", "text_key", "block")
+    first = F.col("block") * DEALT
+    many = blocks.withColumn("i", F.explode(F.sequence(first, F.least(first + DEALT, F.col("n")) - 1))).drop("block")
+    return few.union(many).select(*columns, _of_row(F.col("i")).alias("copies"))
 
 
 def mix_counts(docs: DataFrame, seed: int = 11) -> DataFrame:
     return copies(saved(words_of(docs)), seed)
 
 
+def _numbered_in_class(rows: DataFrame) -> DataFrame:
+    """``rows(id, key, source, ...)`` with i, their 0-based number in their class; a class with most rows is spread over the partitions they stand in."""
+    by = ["id", "key", "source"]
+    placed = saved(rows.withColumn("part", F.spark_partition_id()))
+    inside = placed.withColumn("own", F.row_number().over(Window.partitionBy(*by, "part").orderBy(F.lit(0))) - 1)
+    counts = placed.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("here"))
+    before = F.coalesce(F.sum("here").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in (*by, "part")], before.alias("before"))
+    same = (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part"))
+    return inside.join(starts, same).withColumn("i", F.col("before") + F.col("own"))
+
+
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
-    counts = mix_counts(docs, seed).select("doc_id", "text_key", F.col("copies").alias("value"))
-    rows = attached(docs, counts).where("value > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("value")))).select("row.*")
+    taken = class_copies(saved(words_of(docs)), seed).where("copies > 0")
+    taken = saved(taken.select(id_key().alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "n", "copies"))
+    rows = packed(docs).withColumn("source", F.col("row.source"))
+    same = (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
+    single = rows.join(taken.where("n = 1"), same).select("row", F.col("copies").cast("int").alias("copies"))
+    several = saved(taken.where("n > 1"))  # a table of its own: while it is small, the texts need no second shuffle
+    repeated = rows.join(several, same).select("id", "key", "source", "row", "n", "copies")
+    dealt = _numbered_in_class(repeated).select("row", _of_row(F.col("i")).alias("copies"))
+    return single.union(dealt).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

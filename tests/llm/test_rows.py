@@ -176,7 +176,7 @@ def test_token_counts_equal_the_library(docs, no_docs, model):
 
     processor = sentencepiece.SentencePieceProcessor(model_file=model)
     for chunk in (3, 1 << 16):
-        out = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(docs, model, chunk=chunk).collect())
+        out = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(docs, model, chunk=chunk, fan_in=7).collect())
         counts = [(r["doc_id"], len((r["text"] or "").encode()), len(processor.encode(r["text"] or ""))) for r in docs.collect()]
         assert out == Counter((*x, x[2] > 4096) for x in counts)
     assert tokens.count_tokens(no_docs, model).count() == 0
@@ -192,4 +192,31 @@ def test_transducer_on_random_text(model):
             ready = "▁" + text.replace(" ", "▁")
             want, size = len(processor.encode(text)), draw.randint(1, 20)
             maps = [tokens.chunk_map(machine, ready[i:i + size], i == 0) for i in range(0, len(ready), size)]
-            assert tokens.composed(machine, maps) == want == tokens.composed(machine, [tokens.chunk_map(machine, ready, True)]), text
+            assert tokens.total(machine, tokens.chunk_map(machine, ready, True)) == want, text
+            while len(maps) > 1:  # in any grouping
+                at = draw.randrange(len(maps) - 1)
+                n = draw.randint(2, 4)
+                maps[at:at + n] = [tokens.joined(machine, maps[at:at + n])]
+            assert tokens.total(machine, maps[0]) == want, text
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Thousands of equal rows are one class: buckets stay small, copies are dealt out evenly, sources come near their targets."""
+    hot = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("a").alias("source"), F.col("id").alias("extra"))
+    rest = spark.range(9_000).select("id", F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")), F.when(F.col("id") % 3 == 0, "b").otherwise("a"), F.col("id"))
+    docs = hot.union(rest).repartition(6)
+    classes = mixing.class_copies(mixing.words_of(docs))
+    assert classes.count() == 9_001 and classes.agg(F.sum("n")).first()[0] == 29_000
+    counts = mixing.mix_counts(docs)
+    assert counts.count() == 29_000 and counts.where("copies > 3").count() == 0
+    spread = counts.where("doc_id is null").agg(F.min("copies"), F.max("copies")).first()
+    assert spread[1] - spread[0] <= 1
+    for r in counts.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 40
+    mixed = mixing.mix(docs)
+    key = lambda df: sorted((str(r.doc_id), r.source, r.n) for r in df.collect())
+    of_mix = mixed.groupBy("doc_id", "source").agg(F.count("*").alias("n"))
+    of_counts = counts.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).where("n > 0")
+    assert key(of_mix) == key(of_counts) and mixed.columns == docs.columns
+    each = mixed.where("doc_id is null").groupBy("extra").count().agg(F.max("count")).first()[0]
+    assert each == spread[1]
