@@ -268,14 +268,18 @@ def select_project_artifacts(listing: DataFrame, path: str = "path") -> DataFram
 
 def coverage_report(listing: DataFrame, records: DataFrame, errors: DataFrame | None = None,
                     max_bytes: int | None = None) -> DataFrame:
-    """What happened to every listed file: complete, partial, failed or too large.
+    """What happened to every listed file: complete, partial, failed or too large, and whether lines of it could not be matched.
+
+    A line without text, or with text that is not valid UTF-8, cannot be matched; the rest
+    of its file is scanned, and the file is named once.
 
     ``errors`` names files whose reading stopped early.  ``max_bytes`` is the size
     above which the caller left files out; one that was read all the same counts as read.  Lines are counted per
     file with a map-side partial aggregate, so a huge file costs one row per task.
     """
     read = records.groupBy("source", "file").agg(
-        F.count("*").alias("lines"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+        F.count("*").alias("lines"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"),
+        F.count_if(F.col("text").isNull() | ~F.is_valid_utf8("text")).alias("unmatched"))
     df = listing.join(read, ["source", "file"], "left")
     if errors is None:
         failed = F.lit(False)
@@ -288,9 +292,11 @@ def coverage_report(listing: DataFrame, records: DataFrame, errors: DataFrame |
               .when(failed & (lines > 0), "partial").when(failed, "failed").otherwise("complete"))
     # The reasons are part of the result.
     reason = (F.when(F.col("broken"), "could not be resolved").when(left_out, "too large to scan")
-              .when(failed & (lines > 0), "only partially read").when(failed, "could not be read"))
+              .when(failed & (lines > 0), "only partially read").when(failed, "could not be read")
+              .when(F.col("unmatched") > 0, "some lines could not be matched"))
     return df.select("source", "file", status.alias("status"), reason.alias("reason"),
-                     lines.cast("bigint").alias("lines"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
+                     lines.cast("bigint").alias("lines"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"),
+                     F.coalesce("unmatched", F.lit(0)).cast("bigint").alias("unmatched"))
 
 
 def sources_scanned(coverage: DataFrame) -> DataFrame:

@@ -131,21 +131,26 @@ def coverage_input(spark, sf_dir):
     lost = files.where(F.col("file").cast("bigint") % 89 == 1)
     recs = src.explode_lines(files).where((F.col("file").cast("bigint") % 97 != 0) & (F.col("size_bytes") <= 20000)
                                           & (F.col("file").cast("bigint") % 89 != 1))
+    # The first line of some files cannot be read.
+    recs = recs.withColumn("text", F.when((F.col("file").cast("bigint") % 79 != 3) | (F.col("line") > 1), F.col("text")))
     cut = files.where(F.col("file").cast("bigint") % 83 == 2)
     return src.coverage_report(listing, recs, lost.select("source", "file").union(cut.select("source", "file")), 20000)
 
 
 _COVERAGE = f"""{_DOC_LINES}, f AS (SELECT source, doc_id::varchar AS file, doc_id, strlen(text) AS size FROM documents),
-    r AS (SELECT file, count(*) AS lines, sum(strlen(text))::bigint AS bytes FROM doc_lines GROUP BY file),
+    seen AS (SELECT file, line, CASE WHEN file::bigint % 79 <> 3 OR line > 1 THEN text END AS text FROM doc_lines),
+    r AS (SELECT file, count(*) AS lines, sum(strlen(text))::bigint AS bytes, count_if(text IS NULL) AS unmatched FROM seen GROUP BY file),
     j AS (SELECT f.source, f.file, doc_id % 97 = 0 AS broken, size > 20000 AS large, (doc_id % 89 = 1 OR doc_id % 83 = 2) AS err,
         CASE WHEN doc_id % 97 = 0 OR size > 20000 OR doc_id % 89 = 1 THEN 0 ELSE coalesce(lines, 0) END AS lines,
-        CASE WHEN doc_id % 97 = 0 OR size > 20000 OR doc_id % 89 = 1 THEN 0 ELSE coalesce(bytes, 0) END AS bytes
+        CASE WHEN doc_id % 97 = 0 OR size > 20000 OR doc_id % 89 = 1 THEN 0 ELSE coalesce(bytes, 0) END AS bytes,
+        CASE WHEN doc_id % 97 = 0 OR size > 20000 OR doc_id % 89 = 1 THEN 0 ELSE coalesce(unmatched, 0) END AS unmatched
         FROM f LEFT JOIN r USING (file)),
     coverage AS (SELECT source, file,
         CASE WHEN broken THEN 'failed' WHEN large THEN 'too-large' WHEN err AND lines > 0 THEN 'partial' WHEN err THEN 'failed'
              ELSE 'complete' END AS status,
         CASE WHEN broken THEN 'could not be resolved' WHEN large THEN 'too large to scan' WHEN err AND lines > 0 THEN 'only partially read'
-             WHEN err THEN 'could not be read' END AS reason, lines::bigint AS lines, bytes::bigint AS bytes FROM j)"""
+             WHEN err THEN 'could not be read' WHEN unmatched > 0 THEN 'some lines could not be matched' END AS reason,
+        lines::bigint AS lines, bytes::bigint AS bytes, unmatched::bigint AS unmatched FROM j)"""
 
 
 @query(f"WITH {_COVERAGE} SELECT * FROM coverage")
@@ -497,6 +502,35 @@ def pair_mongodb_atlas(spark, sf_dir):
     return _pair(pairing.pair_mongodb_atlas(base.raw_matches(spark, sf_dir)))
 
 
+_PAIR_CASES = ((0, 40, "aws"), (1, 12, "planetscale"), (2, 34, "mongodb"))
+
+
+def _pair_window_cases() -> str:
+    """A mate stands whole inside the window if its far end is no further away than the window is wide."""
+    return " UNION ALL ".join(f"""SELECT doc_id::varchar AS file, {2 * i + side + 1} AS line, '{name}' AS kind,
+        doc_id % 7 - 3 + {pairing.PAIRINGS[i].window - n} + {n} <= {pairing.PAIRINGS[i].window} AS paired FROM documents"""
+                              for i, n, name in _PAIR_CASES for side in (0, 1))
+
+
+@query(_pair_window_cases())
+def pair_windows(spark, sf_dir):
+    """Mates from three characters inside to three outside of the window, before and behind the anchor."""
+    d = F.col("doc_id").cast("string")
+    h = F.concat(F.md5(d), F.md5(F.concat(F.lit("x"), d)))
+    anchors = (key_of(d), F.concat(F.lit("pscale_tkn_"), F.left(h, F.lit(43))), F.concat(F.lit("mdb_sa_sk_"), F.left(h, F.lit(40))))
+    mates = (F.right(h, F.lit(40)), F.right(h, F.lit(12)), F.concat(F.lit("mdb_sa_id_"), F.right(h, F.lit(24))))
+    lines = []
+    for i, n, name in _PAIR_CASES:
+        gap = F.repeat(F.lit(" "), (F.col("doc_id") % 7 - 3 + pairing.PAIRINGS[i].window - n).cast("int"))
+        lines += [F.concat(anchors[i], gap, mates[i]), F.concat(mates[i], gap, anchors[i])]
+    docs = base.documents(spark, sf_dir).select(d.alias("file"), F.posexplode(F.array(*lines)).alias("i", "text"))
+    recs = docs.select(F.lit("s").alias("source"), "file", (F.col("i") + 1).alias("line"), "text", F.lit(0).cast("bigint").alias("mtime_ms"),
+                       F.octet_length("text").cast("bigint").alias("size_bytes"))
+    found = pairing.with_pairs(suppress.mark_suppressed(extract.scan_rules(recs, windows=pairing.PAIR_WINDOWS).withColumn("category", F.lit("secret"))))
+    kind = F.coalesce(*[F.when(F.col("rule_id").isin(*pairing.PAIRINGS[i].anchors), F.lit(name)) for i, _, name in _PAIR_CASES])
+    return found.select("file", "line", kind.alias("kind"), F.col("paired_value").isNotNull().alias("paired"))
+
+
 _JWT_BODY = "rtrim(translate(string_split(value, '.')[2], '-_', '+/'), '=')"
 JWT_MS = (f"CASE WHEN rule_id = 'jwt' AND try(from_base64({_JWT_BODY} || repeat('=', ((4 - length({_JWT_BODY}) % 4) % 4)::int))) IS NOT NULL THEN "
           f"try((regexp_extract(try(decode(from_base64({_JWT_BODY} || repeat('=', ((4 - length({_JWT_BODY}) % 4) % 4)::int)))), "
