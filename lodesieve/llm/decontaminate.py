@@ -7,7 +7,8 @@ it share one symbol that no window holds, and stretches that are too short for t
 of the suffix array are located by walking to the next sampled position; occurrences become spans, which are merged.
 
 A window is ``WINDOW`` consecutive words of an item, or the whole of a shorter item. The benchmark is broadcast in blocks
-of at most ``BLOCK_WORDS`` words (or one item), and the documents pass through one search per block, so its size is not bounded.
+of at most ``BLOCK_WORDS`` words (or one item), and the documents pass through one search per block. A block's size is bounded;
+their number, and with it the broadcasts alive in a task, grows with the benchmark.
 
 Null or empty texts have no words and no windows. A null item_id is listed as an empty string; items with the same id count
 once. Repeated rows are each judged. An empty benchmark leaves all documents clean.

@@ -220,3 +220,15 @@ def test_mixing_of_repeated_rows(spark):
     assert key(of_mix) == key(of_counts) and mixed.columns == docs.columns
     each = mixed.where("doc_id is null").groupBy("extra").count().agg(F.max("count")).first()[0]
     assert each == spread[1]
+
+
+def test_tokens_of_long_texts_without_blanks(spark, model):
+    """Texts of several chunks, with and without any blank."""
+    import sentencepiece
+
+    processor, draw = sentencepiece.SentencePieceProcessor(model_file=model), random.Random(6)
+    texts = ["".join(draw.choices("abcdeé漢字", k=150_000)), "x" * 70_000, " ".join("".join(draw.choices("abcdefgh", k=draw.randint(1, 9))) for _ in range(40_000)),
+             "word " * 30_000 + "".join(draw.choices("abc", k=140_000)) + " end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    extra = rows.withColumn("row", F.lit(1)).withColumn("maps", F.lit("mine"))
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(extra, model).collect()} == {i: len(processor.encode(t)) for i, t in enumerate(texts)}
