@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesieve.llm.common import saved, text_key
+from lodesieve.llm.common import discard, saved, text_key
 
 WINDOW = 35
 KMER = 8           # words of an anchor
@@ -157,10 +157,11 @@ def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(doc_id, text_key, start, n): n windows from the word start on are repeated."""
-    paths = saved(paths_of(docs, window, kmer))
+    every = saved(paths_of(docs, window, kmer))
     # Key tables are saved before they are joined: only joins of two plain shuffles are split where a key is hot.
-    twice = saved(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("anchor"))
-    paths = saved(paths.join(twice, "anchor", "left_semi"))
+    twice = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("anchor"))
+    paths = saved(every.join(twice, "anchor", "left_semi"))
+    discard(every, twice)
     source = F.struct("start", "doc_id", "text_key")
     contents = saved(paths.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min(source).alias("at")))
     whole = paths.join(contents.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
@@ -168,10 +169,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     branching = saved(ways.where("ways > 1 and least = 1").select("anchor"))
     opened = contents.join(branching, "anchor", "left_semi").select("anchor", "n", "copies", "at.start", "at.doc_id", "at.text_key")
     edges = saved(_edges(docs, opened, window))
+    discard(branching)
     again = saved(edges.groupBy("anchor", "edge").agg(F.sum("copies").alias("total")).where("total > 1").select("anchor", "edge"))
     single = edges.where("copies = 1").join(again, ["anchor", "edge"], "left_semi")
     columns = ["doc_id", "text_key", "start"]
-    return whole.select(*columns, "n").union(single.select(*columns, F.lit(1).alias("n")))
+    spans = saved(whole.select(*columns, "n").union(single.select(*columns, F.lit(1).alias("n"))))
+    discard(paths, contents, edges, again)
+    return spans
 
 
 def covered(n_words: int, starts: list[int], counts: list[int], window: int = WINDOW) -> np.ndarray:
