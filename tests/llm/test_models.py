@@ -120,3 +120,25 @@ def test_few_labels_do_not_empty_the_corpus(spark, n_labels):
     assert wrong == 0 and found.count() == 12_001
     if n_labels == 4:
         assert found.where("predicted = 1").count() == 0
+
+
+def test_quality_fit_equals_one_machine(spark, labelled):
+    """The sums of the partitions give the ridge weights and the calibration that all rows in one place give."""
+    import numpy as np
+
+    docs, labels, truth = labelled
+    known = {x[0]: x[1] for x in truth if x[0] is not None and x[1] is not None and zlib.crc32(str(x[0]).encode()) % 4 != 2}
+    rows = docs.select("doc_id", "text").collect()
+    stats = np.array([quality.statistics(r["text"]) for r in rows])
+    model = quality.Model(stats.mean(axis=0), stats.std(axis=0))
+    picked = [i for i, r in enumerate(rows) if r["doc_id"] in known]
+    z, y = model.features(stats[picked]), np.array([known[rows[i]["doc_id"]] for i in picked], float)
+    model.weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(y) * np.eye(z.shape[1]), z.T @ y)
+    ridge = model.ridge(stats[picked])
+    at = np.clip(np.floor((ridge + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1).astype(int)
+    full = np.unique(at)
+    n, mean, good = (np.array([f(at == b) for b in full]) for f in (np.sum, lambda m: ridge[m].mean(), lambda m: y[m].mean()))
+    model.curve = (mean, quality.pooled(good, n.astype(float)))
+    want = sorted(zip((str(r["doc_id"]) for r in rows), model.score(stats)))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in quality.score_quality(docs, labels).collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and np.abs(np.array([x[1] for x in got]) - [x[1] for x in want]).max() < 0.02
