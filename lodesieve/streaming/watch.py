@@ -5,7 +5,8 @@ The stream runs the same column expressions as a batch.  Two things need state:
 * seams: the open end of a record waits for its neighbour, which may arrive in any
   later micro-batch (a map of open ends per block of lines);
 * alerts: the first sighting of a (rule, preview) is a ``finding``, later ones are
-  ``reexposure`` with a running count (a keyed count with a time to live).
+  ``reexposure`` with a running count (a keyed count with a time to live).  Previews
+  of many values coincide; findings made ``by_value`` are counted by (rule, value hash).
 
 An end leaves the state as soon as its neighbour comes, so a file that was read in
 full keeps one short window.  Both take a time to live.  Set
@@ -128,7 +129,7 @@ def stream_seams(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, tt
         outputMode="append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
-def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions(), seam_ttl_ms: int | None = None) -> DataFrame:
+def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions(), seam_ttl_ms: int | None = None, by_value: bool = False) -> DataFrame:
     """Findings of a stream of records, values split over micro-batches included."""
     text = F.col("text")
     counted = records.observe("records", F.count(F.lit(1)).alias("records"), F.count_if(text.isNull()).alias("failed"))
@@ -136,11 +137,11 @@ def stream_findings(records: DataFrame, options: ScanOptions = ScanOptions(), se
     over = straddling(stream_seams(records, options.secret_rules, seam_ttl_ms), options.secret_rules)
     matches = classify(inside.unionByName(over), options)
     matches = matches.observe("matches", F.count_if(F.col("suppressed_reason").isNotNull()).alias("suppressed"))
-    return findings_of(expanded_matches(matches, options.include_suppressed))
+    return findings_of(expanded_matches(matches, options.include_suppressed), by_value)
 
 
 class _SightingProcessor(StatefulProcessor):
-    """Counts sightings of one (rule, preview)."""
+    """Counts sightings of one (rule, preview) or (rule, value hash)."""
 
     def __init__(self, ttl_ms: int | None) -> None:
         self._ttl_ms = ttl_ms
@@ -172,17 +173,23 @@ _EVENT_SCHEMA = ("event string, nth bigint, rule_id string, preview string, labe
                  "rel_file string, file string, line int, fingerprint string")
 
 
+def _identity(findings: DataFrame) -> list[str]:
+    """What sightings are counted by."""
+    return ["rule_id", "value_hash" if "value_hash" in findings.columns else "preview"]
+
+
 def first_seen_or_reexposure(findings: DataFrame, baseline: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """Turn a stream of findings into events with a running count per (rule, preview).
+    """Turn a stream of findings into events with a running count per (rule, preview), or (rule, value hash) where there is one.
 
-    ``baseline`` (``rule_id, preview, n``) holds what was there before the watch
+    ``baseline`` (these two and ``n``) holds what was there before the watch
     started: it never alerts, and its repetitions are re-exposures.  ``ttl_ms``
     forgets what was not seen for that long; it needs a query that runs on, since
     processing time never lets an ``availableNow`` run end.
     """
-    rows = findings.select("rule_id", "preview", "label", "confidence", "source", "rel_file", "file", "line", "fingerprint")
-    seen = None if baseline is None else baseline.select("rule_id", "preview", "n").groupBy("rule_id", "preview")
-    return rows.groupBy("rule_id", "preview").transformWithStateInPandas(
+    by = _identity(findings)
+    rows = findings.select(*by, *[c for c in ("preview", "label", "confidence", "source", "rel_file", "file", "line", "fingerprint") if c not in by])
+    seen = None if baseline is None else baseline.select(*by, "n").groupBy(*by)
+    return rows.groupBy(*by).transformWithStateInPandas(
         statefulProcessor=_SightingProcessor(ttl_ms), outputStructType=_EVENT_SCHEMA, outputMode="append",
         timeMode="None" if ttl_ms is None else "ProcessingTime", initialState=seen)
 
@@ -204,7 +211,7 @@ def _published(batch: DataFrame, settled: DataFrame | None, path: str, batch_id:
 
 def baseline_of(findings: DataFrame) -> DataFrame:
     """Sightings in what exists before a watch starts."""
-    return findings.groupBy("rule_id", "preview").agg(F.count("*").alias("n"))
+    return findings.groupBy(*_identity(findings)).agg(F.count("*").alias("n"))
 
 
 def watch(findings: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
