@@ -82,3 +82,18 @@ def test_very_long_lines_do_not_overflow(records):
     assert [r.rule_id for r in scan_rules(recs).collect()] == ["github_pat"]
     assert scan_decoded(recs).count() == 0
     assert with_content(recs).agg(F.max(F.length("content"))).first()[0] > 4_000_000
+
+
+def test_classes_are_read_from_a_table(spark):
+    """Patterns test characters by predefined ASCII classes, and these hold what the three ranges held."""
+    from lodesieve.functions.regex import anchor_union, by_table, rule_regex
+    from lodesieve.operators.decode import CANDIDATE, DECODE_GATE
+
+    rules = ALL + PII_RULES
+    spelled = [rule_regex(r) for r in rules] + [anchor_union(rules), CANDIDATE, DECODE_GATE]
+    assert not [p for p in spelled if "A-Za-z0-9" in p or "a-zA-Z0-9" in p or "0-9A-Za-z" in p or "0-9a-zA-Z" in p]
+    chars = spark.range(1, 0x3000).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    for old in ("[A-Za-z0-9]", "[A-Za-z0-9_]", "[A-Za-z0-9._-]", "[0-9a-zA-Z_-]", "[A-Za-z0-9+/=_-]", "[^A-Za-z0-9]"):
+        for flag in ("", "(?i)"):
+            differ = chars.where(F.col("c").rlike(flag + old) != F.col("c").rlike(flag + by_table(old))).count()
+            assert by_table(old) != old and differ == 0, (old, flag)
