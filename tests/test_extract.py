@@ -97,3 +97,33 @@ def test_classes_are_read_from_a_table(spark):
         for flag in ("", "(?i)"):
             differ = chars.where(F.col("c").rlike(flag + old) != F.col("c").rlike(flag + by_table(old))).count()
             assert by_table(old) != old and differ == 0, (old, flag)
+
+
+def test_rules_are_tried_by_the_openings_of_tokens(spark, records):
+    """Only rules whose opening or needle occurs are tried, and all that match are among them."""
+    from lodesieve.operators.extract import opening_of, tried_rules
+
+    texts = [f"see {sample(r)}; and glpat-{sample(r)}" for r in SHAPES] + ["plain words, no more", "", "sk-ant-" + "sk-or-v1-" * 9]
+    rows = records(*texts).select("text", tried_rules(F.col("text"), ALL).alias("tried")).collect()
+    always = [i for i, r in enumerate(ALL) if opening_of(r) is None]
+    assert len(always) < len(ALL) / 4
+    for row in rows:
+        names = [ALL[i].id for i in row.tried]
+        assert {f[0] for f in brute(row.text)} <= set(names) and row.tried == sorted(set(row.tried))
+        assert len(names) < 12, (row.text, names)
+    assert records("x").select(tried_rules(F.lit(None).cast("string"), ALL).alias("t")).first().t == []
+
+
+def test_generated_methods_of_the_scan_are_compiled(spark):
+    """HotSpot interprets methods of more than 8,000 bytes; the scan of planted files had one of 17,321."""
+    from lodesieve.workload import base
+
+    scan = base.scan_files(base.planted_files(spark, "/root/testdata/sf0.001"), base.ALL_PASSES)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package")
+        stages = debug.codegenStringSeq(scan._jdf.queryExecution().executedPlan())
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) <= 8000, sizes

@@ -232,3 +232,20 @@ def test_small_functions(spark):
         return sum(p in COMMON_BIGRAMS for p in pairs) / len(pairs) if pairs else 0.0
 
     assert [round(x, 9) for x in one(spark, bigram_fraction, *words)] == [round(plain(w), 9) for w in words]
+
+
+def test_lines_and_seams_of_odd_texts(spark):
+    """Lines end as the expression says, and a line without a neighbour takes no window."""
+    import re
+
+    from lodesieve.operators.boundary import seam_array
+    from lodesieve.sources.records import lines_of
+
+    texts = ["", "\n", "\r", "\r\n", "\n\r", "a\r\n\r", "a\n\nb", "a\rb\r\nc\n", "a\n\n", "é\r\n☃\n", "x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", lines_of(F.col("text")).alias("lines"))
+    for row in frame.collect():
+        end = r"\r\n|\n|\r"
+        assert row.lines == (re.split(end, re.sub(rf"(?:{end})\Z", "", row.text)) if row.text else []), repr(row.text)
+    seams = {r.text: r.s for r in frame.select("text", seam_array(F.col("lines")).alias("s")).collect()}
+    assert seams["a\n\nb"] == [None, None, None] and seams["x"] == [None] and seams[""] == []
+    assert [s and (s.tail, s.head) for s in seams["a\rb\r\nc\n"]] == [("a", "b"), ("b", "c"), None]
