@@ -216,3 +216,29 @@ def test_attribution_of_one_name_in_many_files(spark):
                               F.concat(F.lit("value-"), F.col("id")).alias("value"), F.lit("fam").alias("rule_family"))
     got = score.attribute_findings(f, t)
     assert got.where(F.expr("substr(finding_id, 2) = substr(truth_id, 2) and tier = 1")).count() == n == got.count()
+
+
+def test_score_scans_texts_once(spark):
+    """What the scores read is held: no text is planted or scanned again behind the attribution."""
+    from lodesieve.workload import rollup_queries
+
+    for name in ("score_per_family",):
+        plan = rollup_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan.lower() and "l_plain" not in plan, name
+
+
+def test_one_line_attributes_a_finding_once(spark):
+    t = spark.createDataFrame([("t1", "secret", "aws", "f", 3, "a")], "truth_id string, kind string, rule_family string, file string, line int, value string")
+    f = spark.createDataFrame([("x", "f", 3, None, "gh")] * 2, "finding_id string, file string, line int, value string, rule_family string")
+    assert [tuple(r) for r in score.attribute_findings(f, t).collect()] == [("x", "t1", 2)]
+
+
+def test_instances_without_findings_are_not_ranked(spark):
+    """A value planted everywhere and found nowhere meets no window."""
+    pool = spark.range(1000).select(F.concat(F.lit("t"), F.col("id")).alias("id"), F.concat(F.lit("f"), F.col("id")).alias("file"),
+                                    F.lit(1).alias("line"), F.when(F.col("id") < 990, "hot").otherwise("found").alias("group"))
+    findings = spark.createDataFrame([(f"x{i}", "g", i, "found") for i in range(12)], "id string, file string, line int, group string")
+    got = score._assign(findings, pool, None, 1)
+    assert {(r.finding_id, r.truth_id) for r in got.collect()} == {(f"x{i}", f"t{990 + i}" if i < 10 else "t990") for i in range(12)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("LeftSemi" in part for part in plan.split("AS free_id")[1:]) and "LeftSemi" in plan
