@@ -222,7 +222,7 @@ def test_score_scans_texts_once(spark):
     """What the scores read is held: no text is planted or scanned again behind the attribution."""
     from lodesieve.workload import rollup_queries
 
-    for name in ("score_per_family",):
+    for name in ("score_per_family", "score_precision"):
         plan = rollup_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "parquet" not in plan.lower() and "l_plain" not in plan, name
 
