@@ -4,10 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodesieve.catalog.rules import COMMON_BIGRAMS, DEFAULT_RULES, NOISY_RULES, PII_RULES, SEED_PHRASE_RULE, Rule
+from lodesieve.catalog.rules import (CHATML_RULE, COMMON_BIGRAMS, DEFAULT_RULES, NOISY_RULES, OVERRIDE_PHRASE_RULE, PII_RULES,
+                                     SEED_PHRASE_RULE, ZERO_WIDTH_RULE, Rule)
 from lodesieve.functions.text import bigram_fraction
 from lodesieve.operators.decode import DECODE_GATE
-from lodesieve.operators.extract import is_quiet
+from lodesieve.operators.extract import is_quiet, may_match, opening_of, tried_rules
 from lodesieve.plans.scan import ScanOptions, _gate_rules, record_gate, record_hits
 
 from test_extract import sample
@@ -65,3 +66,24 @@ def test_letter_pairs_are_counted_without_a_lambda(spark):
     rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "value string").select("value", bigram_fraction(F.col("value")).alias("f"))
     assert [r.f for r in rows.collect()] == [plain(v) for v in values] + [0.0]
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_with_a_few_openings_are_not_tried_on_every_text(spark):
+    by_id = {r.id: r for r in DEFAULT_RULES}
+    assert opening_of(by_id["github_pat"]) == {"gh", "gi"} and opening_of(by_id["hubspot_token"]) == {"pa", "pA", "Pa", "PA"}
+    assert opening_of(by_id["mailchimp_key"]) is None and opening_of(Rule("own", "Own", "low", r"\bx?abc-\w{20}", "x?abc-", token=True)) is None
+    texts = [f"key {sample(i)} end" for i in ("github_pat", "stripe_key", "connection_string_with_password", "postman_token", "notion_token")]
+    texts.append(f"{sample('hubspot_token').upper()}, {sample('hubspot_token')}")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select("text", F.explode(tried_rules(F.col("text"), DEFAULT_RULES)).alias("i")).collect()
+    tried = {t: [DEFAULT_RULES[r.i].id for r in found if r.text == t] for t in texts}
+    assert [i in tried[t] for i, t in zip(("github_pat", "stripe_key", "connection_string_with_password", "postman_token", "notion_token",
+                                           "hubspot_token"), texts)] == [True] * 6
+    assert all(ids == sorted(set(ids), key=list(by_id).index) and len(ids) < 8 for ids in tried.values()), tried
+
+
+def test_few_rules_are_gated_by_needle(spark):
+    rules = (CHATML_RULE, ZERO_WIDTH_RULE, OVERRIDE_PHRASE_RULE)
+    texts = ["plain text", "a <|user|> b", "[/INST]", "a​b", "IGNORE all prior instructions", "café & co"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i")
+    assert [r.m for r in rows.select(may_match(F.col("text"), rules).alias("m")).collect()] == [False, True, True, True, True, False]
